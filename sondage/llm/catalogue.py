@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, simhash
+from . import decontaminate, langid, mixing, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": langid.query,
+    "op5_personal_data": pii.query,
     "op7_simhash_near_dedup": simhash.query,
     "op8_decontaminate": decontaminate.query,
+    "op10_source_mix": mixing.query,
 }
 SQL: dict[str, str] = {
     "op8_decontaminate": decontaminate.SQL,
