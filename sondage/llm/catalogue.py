@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmltext, langid, licenses, mixing, pii, simhash
+from . import decontaminate, htmltext, langid, licenses, mixing, pii, repeats, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.query,
     "op2_html_main_text": htmltext.query,
     "op3_license_spans": licenses.query,
+    "op4_maximal_repeats": repeats.query,
     "op5_personal_data": pii.query,
     "op7_simhash_near_dedup": simhash.query,
     "op8_decontaminate": decontaminate.query,

@@ -148,6 +148,21 @@ def winnow(grams: np.ndarray, valid: np.ndarray, doc: np.ndarray, w: int) -> np.
     return np.flatnonzero(chosen)
 
 
+def window_minima(grams: np.ndarray, valid: np.ndarray, doc: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """First position of every window of ``w`` grams inside a text, and the position of the window's rightmost least hash.
+
+    The choice depends on the window's grams alone.
+    """
+    n = len(grams)
+    if n < w:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.arange(n, dtype=np.uint64)
+    least = sliding((grams & ~_PLACE) | (_PLACE - (at & _PLACE)), w, np.minimum)
+    start = np.flatnonzero(valid[: n - w + 1] & valid[w - 1 :] & (doc[: n - w + 1] == doc[w - 1 : n]))
+    low = (_PLACE - (least[start] & _PLACE)).astype(np.int64)
+    return start, start + ((low - start) & int(_PLACE))
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = _SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text each; a longer row stands alone."""
     if not batch.num_rows:
