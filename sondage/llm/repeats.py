@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import cut, table
+from .runtime import cut, small, table
 from .wordgrams import Words, finalise, gram_codes, signed, slices, window_minima, words_of
 
 MIN_WORDS = 50
@@ -39,6 +39,10 @@ def _windows(part: pa.RecordBatch, least: int) -> tuple[Words, np.ndarray, np.nd
     return words, grams, *window_minima(grams, valid, words.doc, least - k + 1)
 
 
+def _packed(body: bytes) -> bytes:
+    return pa.Codec("zstd", 3).compress(body, asbytes=True)
+
+
 def anchors(texts: DataFrame, least: int) -> DataFrame:
     """Columns ``id, pos, gram, before`` of the anchors of a frame with ``id, text``.
 
@@ -176,7 +180,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 first = start[rows]
                 doc = np.searchsorted(words.first, first, side="right") - 1
                 led = first > words.first[doc]
-                bodies = [words.code[a:b].tobytes() for a, b in zip((first - led).tolist(), until[rows].tolist(), strict=True)]
+                spans = zip(words.start[first - led].tolist(), words.end[until[rows] - 1].tolist(), strict=True) if len(rows) else ()
+                bodies = [words.data[a:b].tobytes() for a, b in spans]
                 places = [(start[a:b] - start[a]).astype(np.int32).tobytes() for a, b in zip(rows.tolist(), [*rows[1:].tolist(), len(start)], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -184,16 +189,21 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                         part.column("id").take(pa.array(doc)),
                         pa.array((first - words.first[doc]).astype(np.int32)),
                         pa.array(led),
-                        pa.array(bodies, pa.binary()),
+                        pa.array([len(b) for b in bodies], pa.int32()),
+                        pa.array([_packed(b) for b in bodies], pa.binary()),
                         pa.array(places, pa.binary()),
                     ],
-                    names=["bucket", "id", "start", "led", "body", "places"],
+                    names=["bucket", "id", "start", "led", "size", "body", "places"],
                 )
 
+    # Where the ids of texts with edges are few, the others needn't be shuffled.
+    ids = state.select(F.col("doc").alias("id"))
+    near = small(ids, 16)
+    some = texts if near is ids else texts.join(near, "id", "left_semi")
     passages = (
-        texts.join(state, F.col("id") == F.col("doc"))
+        some.join(state, F.col("id") == F.col("doc"))
         .select("id", "text", "anchors")
-        .mapInArrow(spread, "bucket bigint, id bigint, start int, led boolean, body binary, places binary")
+        .mapInArrow(spread, "bucket bigint, id bigint, start int, led boolean, size int, body binary, places binary")
     )
     return passages.groupBy("bucket").applyInArrow(lambda t: scan(t, min_words), REPEATS).distinct()
 
@@ -204,19 +214,19 @@ def scan(passages: pa.Table, least: int) -> pa.Table:
     Equal passages are sorted once; their occurrences come back at the end.
     """
     copies: dict[tuple, set[tuple[int, int]]] = {}
-    for i, start, led, body, places in zip(*(passages.column(c).to_pylist() for c in ("id", "start", "led", "body", "places")), strict=True):
-        copies.setdefault((body, places, led), set()).add((i, start))
-    kinds = list(copies)
+    for i, start, *kind in zip(*(passages.column(c).to_pylist() for c in ("id", "start", "led", "size", "body", "places")), strict=True):
+        copies.setdefault(tuple(kind), set()).add((i, start))
+    kinds = sorted(copies)
     homes = [np.array(sorted(copies[x]), np.int64) for x in kinds]
-    bodies = [np.frombuffer(x[0], np.uint64) for x in kinds]
-    size = np.array([len(b) for b in bodies], np.int64)
-    first = np.cumsum(size + 1) - (size + 1)
-    code = np.zeros(int((size + 1).sum()), np.uint64)
-    for f, b in zip(first.tolist(), bodies, strict=True):
-        code[f : f + len(b)] = b
+    led = np.array([x[0] for x in kinds], np.int64)
+    words = words_of(pa.array([pa.Codec("zstd").decompress(body, n, asbytes=True) for _, n, body, _ in kinds], pa.binary()).cast(pa.large_string()), lower=False)
+    size = np.diff(words.first)
+    first = words.first[:-1] + np.arange(len(size))
+    code = np.zeros(len(words.code) + len(size), np.uint64)
+    code[np.arange(len(words.code)) + words.doc] = words.code
     names = np.unique(code, return_inverse=True)[1].astype(np.int64)
     names[first + size] = len(code) + np.arange(len(size))
-    marks = [np.frombuffer(x[1], np.int32).astype(np.int64) + x[2] for x in kinds]
+    marks = [np.frombuffer(x[3], np.int32).astype(np.int64) + x[0] for x in kinds]
     owner = np.repeat(np.arange(len(kinds)), [len(m) for m in marks])
     wanted = np.concatenate([f + m for f, m in zip(first.tolist(), marks, strict=True)])
     order, common = suffix_order(names, wanted)
@@ -235,7 +245,7 @@ def scan(passages: pa.Table, least: int) -> pa.Table:
     entry = np.repeat(np.arange(len(order)), many)
     which = np.concatenate(homes)[np.r_[0, np.cumsum([len(h) for h in homes])][owner[entry]] + np.arange(len(entry)) - at[entry]]
     doc = which[:, 0]
-    place = which[:, 1] + (order - first[owner] - np.array([x[2] for x in kinds], np.int64)[owner])[entry]
+    place = which[:, 1] + (order - first[owner] - led[owner])[entry]
     columns: list[list[np.ndarray]] = [[] for _ in range(6)]
     for a, b, n in found:
         x, y = apart(doc[at[a] : at[b + 1]], place[at[a] : at[b + 1]], n)
