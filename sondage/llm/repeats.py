@@ -26,7 +26,7 @@ from .wordgrams import Words, finalise, gram_codes, signed, slices, window_minim
 
 MIN_WORDS = 50
 #: Buckets of suffixes for each shuffle partition; a bucket is sorted in memory.
-BUCKETS = 4
+BUCKETS = 8
 
 REPEATS = "group_id bigint, n_words int, n_occurrences int, doc_id bigint, start_word int, end_word int"
 
@@ -136,8 +136,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Columns: ``group_id`` (hash of the passage), ``n_words``, ``n_occurrences``, ``doc_id``, ``start_word``, ``end_word``.  ``docs`` needs
     ``doc_id`` and ``text``; other columns are ignored.  Words are compared without case or punctuation; passages end at the end
     of a text.  Null texts, texts of fewer words and rows with a null id have none.  Repeated rows (same id and text) count as
-    one; an id with several texts has the occurrences of each.  Occurrences within one text count unless they overlap the one
-    before, from left to right; a passage that is left with one occurrence (a loop that overlaps itself) isn't reported.
+    one; texts of one id count as one text.  Occurrences within one text count unless they overlap the one before, from left
+    to right; a passage that is left with one occurrence (a loop that overlaps itself) isn't reported.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id is not null and text is not null")
@@ -205,7 +205,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .select("id", "text", "anchors")
         .mapInArrow(spread, "bucket bigint, id bigint, start int, led boolean, size int, body binary, places binary")
     )
-    return passages.groupBy("bucket").applyInArrow(lambda t: scan(t, min_words), REPEATS).distinct()
+    return passages.groupBy("bucket").applyInArrow(lambda t: scan(t, min_words), REPEATS)
 
 
 def scan(passages: pa.Table, least: int) -> pa.Table:
