@@ -8,6 +8,9 @@ does.  Last the entries collected are resolved exactly.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +22,7 @@ K = 10
 #: Nodes: more give cheaper lists but a weaker cutoff for each.
 PARTS = 2
 #: Vectors in a tile; tiles are the unit that is paired.
-TILE = 2048
+TILE = 1024
 #: Room for rounding of 32-bit sums, relative to the product of the norms.
 _SLACK = 1e-5
 #: Scores are compared at so many decimals, so that equal scores tie in any order of summation.
@@ -108,28 +111,52 @@ def _exact(a: np.ndarray, b: np.ndarray, rows: np.ndarray, columns: np.ndarray)
     return np.round(out, DECIMALS)
 
 
+def _runs(batches) -> Iterator[tuple[dict, Iterator[dict]]]:
+    """Pairs of tiles as runs with one left tile each."""
+
+    def pairs():
+        for batch in batches:
+            columns = batch.schema.names
+            for r in range(batch.num_rows):
+                # Buffers, not copies.
+                yield {c: v.as_buffer() if isinstance(v := batch.column(k)[r], pa.BinaryScalar) else v.as_py() for k, c in enumerate(columns)}
+
+    return itertools.groupby(pairs(), key=lambda row: row["tile"])
+
+
 def local_lists(pairs: DataFrame, k: int) -> DataFrame:
-    """Phase one: for each pair of tiles every node's best ``k`` items of each query, with their exact scores."""
+    """Phase one: every node's best ``k`` items of each query, among the pairs that a task sees, with exact scores.
+
+    A node keeps a list for each query; of a further tile only what beats the list's end is looked at.
+    """
 
     def emit(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
+        for tile, rows in _runs(batches):
+            # A node's list: query's place, item, local score; then what is exact of the listed items.
+            lists, known = {}, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            for row in rows:
                 ids, a = _unpack(row["ids"], row["vectors"], row["dim"])
                 others, b = _unpack(row["other_ids"], row["other_vectors"], row["dim"])
-                same = ids[:, None] == others[None, :] if row["tile"] == row["other"] else None
-                rows, columns = [], []
-                for part in _split(row["dim"]):
+                for n, part in enumerate(_split(row["dim"])):
                     local = a[:, part].astype(np.float32) @ b[:, part].T.astype(np.float32)
-                    if same is not None:
-                        local[same] = -np.inf
-                    top = min(k, local.shape[1])
-                    near = np.argpartition(-local, top - 1, axis=1)[:, :top] if top < local.shape[1] else np.tile(np.arange(top), (len(a), 1))
-                    rows.append(np.repeat(np.arange(len(a)), top))
-                    columns.append(near.ravel())
-                rows, columns = np.concatenate(rows), np.concatenate(columns)
-                other = ids[rows] != others[columns]
-                rows, columns = rows[other], columns[other]
-                yield _row(row["tile"], row["dim"], *_best(ids[rows], others[columns], _exact(a, b, rows, columns), k))
+                    if n not in lists:
+                        lists[n] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.full(len(ids), -np.inf, np.float32)]
+                        if local.shape[1] > 4 * k:
+                            # A first floor, so that the first tile isn't listed whole; one more than k as the query itself may be there.
+                            lists[n][3] = np.nextafter(np.partition(local, -k - 1, axis=1)[:, -k - 1], -np.inf)
+                    at, column = np.nonzero(local > lists[n][3][:, None])
+                    other = ids[at] != others[column]
+                    at, column = at[other], column[other]
+                    if not len(at):
+                        continue
+                    known = _best(*(np.concatenate(x) for x in zip(known, (ids[at], others[column], _exact(a, b, at, column)), strict=True)), k)
+                    query, item, score = _best(*(np.concatenate(x) for x in zip(lists[n][:3], (at, others[column], local[at, column]), strict=True)), k)
+                    full = np.bincount(query, minlength=len(ids)) == k
+                    last = np.flatnonzero(np.r_[query[1:] != query[:-1], True])
+                    floor = lists[n][3]
+                    floor[query[last]] = np.where(full[query[last]], np.maximum(score[last], floor[query[last]]), floor[query[last]])
+                    lists[n] = [query, item, score, floor]
+            yield _row(tile, row["dim"], *known)
 
     return pairs.mapInArrow(emit, _LISTS)
 
@@ -153,34 +180,43 @@ def cutoffs(lists: DataFrame, k: int) -> DataFrame:
 
 
 def sufficient(pairs: DataFrame, k: int) -> DataFrame:
-    """Phase two and three: of each pair of tiles the items that reach the cutoff's share at a node, resolved exactly."""
+    """Phase two and three: the items that reach the cutoff's share at a node are collected and resolved exactly.
+
+    ``cut_ids, cuts`` hold the cutoffs of the left tile's queries.  As better entries are found a query's cutoff rises.
+    """
 
     def emit(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
+        for tile, rows in _runs(batches):
+            floor, known = None, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            for row in rows:
                 ids, a = _unpack(row["ids"], row["vectors"], row["dim"])
                 others, b = _unpack(row["other_ids"], row["other_vectors"], row["dim"])
-                known, cuts = np.frombuffer(row["cut_ids"], np.int64), np.frombuffer(row["cuts"], np.float64)
-                floor = np.full(len(ids), -np.inf)
-                order = np.argsort(known)
-                at = np.searchsorted(known[order], ids)
-                hit = at < len(known)
-                hit[hit] = known[order][at[hit]] == ids[hit]
-                floor[hit] = cuts[order][at[hit]]
+                order = np.argsort(ids)
+                if floor is None:
+                    floor = np.full(len(ids), -np.inf)
+                    floor[order[np.searchsorted(ids[order], np.frombuffer(row["cut_ids"], np.int64))]] = np.frombuffer(row["cuts"], np.float64)
                 slack = _SLACK * np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1).max(initial=0)
                 parts = _split(row["dim"])
-                share = ((floor - slack) / len(parts)).astype(np.float32)[:, None]
+                least = (floor - slack).astype(np.float32)[:, None]
+                share = least / np.float32(len(parts))
                 total = np.zeros((len(a), len(b)), np.float32)
                 enough = np.zeros(total.shape, bool)
                 for part in parts:
                     local = a[:, part].astype(np.float32) @ b[:, part].T.astype(np.float32)
                     enough |= local >= share
                     total += local
-                enough &= total >= (floor - slack).astype(np.float32)[:, None]
-                rows, columns = np.nonzero(enough)
-                other = ids[rows] != others[columns]
-                rows, columns = rows[other], columns[other]
-                yield _row(row["tile"], row["dim"], *_best(ids[rows], others[columns], _exact(a, b, rows, columns), k))
+                enough &= total >= least
+                at, column = np.nonzero(enough)
+                other = ids[at] != others[column]
+                at, column = at[other], column[other]
+                if not len(at):
+                    continue
+                known = _best(*(np.concatenate(x) for x in zip(known, (ids[at], others[column], _exact(a, b, at, column)), strict=True)), k)
+                last = np.flatnonzero(np.r_[known[0][1:] != known[0][:-1], True])
+                full = np.diff(np.r_[-1, last]) == k
+                where = order[np.searchsorted(ids[order], known[0][last[full]])]
+                floor[where] = np.maximum(floor[where], known[2][last[full]])
+            yield _row(tile, row["dim"], *known)
 
     return pairs.mapInArrow(emit, _LISTS)
 
@@ -193,12 +229,14 @@ def top_k(vectors: DataFrame, k: int = K) -> DataFrame:
     the same length are compared.  Ties go to the lower ``vec_id``; with fewer than ``k`` others all are listed.
     """
     packed = cut(tiles(vectors))
-    # One pair of tiles a record, as each is some megabytes.
     others = packed.select(F.col("tile").alias("other"), F.col("dim").alias("other_dim"), F.col("ids").alias("other_ids"), F.col("vectors").alias("other_vectors"))
     width = max(1, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = packed.repartition(width, "tile").join(others, F.col("dim") == F.col("other_dim"))
-    found = cut(cutoffs(local_lists(pairs, k), k))
-    lists = sufficient(pairs.join(found, F.col("tile") == F.col("cut_tile")), k)
+    left = packed.repartition(width, "tile")
+    # Every tile meets every other without a key, so that neither side is shuffled by one: all would have the same.
+    alike = (F.col("dim") - F.col("other_dim")) == 0
+    found = cut(cutoffs(local_lists(left.join(others, alike), k), k))
+    cuts = left.join(found, F.col("tile") == F.col("cut_tile"))
+    lists = sufficient(cuts.join(others, alike), k)
 
     def rank(t: pa.Table) -> pa.Table:
         query, item, score = _merged(t, k)
