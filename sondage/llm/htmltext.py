@@ -93,6 +93,9 @@ def parse(page: str) -> list[Node]:
             if share is None:
                 break
             share.score += size // part
+            # What boilerplate holds says nothing for what is around it.
+            if _BOILERPLATE.search(share.step):
+                break
             share = share.parent
 
     def close(tag: str) -> None:

@@ -1,0 +1,69 @@
+import re
+
+from sondage.llm import pii as P
+
+
+def kinds(text):
+    return [(text[a:b], k) for a, b, k, _ in P.spans(text)]
+
+
+def test_checksums():
+    assert P.luhn("4111111111111111") and not P.luhn("4111111111111112") and not P.luhn("")
+    assert P.mod97("GB82 WEST 1234 5698 7654 32") and not P.mod97("GB83 WEST 1234 5698 7654 32") and not P.mod97("GB82")
+
+
+def test_kinds():
+    assert kinds("mail jane.doe+x@mail2.example.com, now") == [("jane.doe+x@mail2.example.com", "email")]
+    assert kinds("pay 4111 1111 1111 1111 or 4111111111111112") == [("4111 1111 1111 1111", "card")]
+    assert kinds("to GB82 WEST 1234 5698 7654 32.") == [("GB82 WEST 1234 5698 7654 32", "iban")]
+    assert kinds("at 227.5.221.1 not 300.1.1.1 or 1.2.3.4.5") == [("227.5.221.1", "ip")]
+    assert kinds("call +1 (743) 555-3824*** or (743) 555-3824") == [("+1 (743) 555-3824", "phone"), ("(743) 555-3824", "phone")]
+    assert kinds("ssn 123-45-6789, 000-45-6789") == [("123-45-6789", "ssn")]
+    token = "11acdfb36bb72224148e6160f674b4be45601bff"
+    assert kinds(f'token = "{token}"') == [(token, "secret")] and kinds(f"commit {token}") == []
+    assert kinds("v1.2, 2024-01-01, 0000000000000000, page 12345") == []
+
+
+def test_context_raises_the_score():
+    alone, near = P.spans("10.1.2.3")[0][3], P.spans("host 10.1.2.3")[0][3]
+    assert near == round(alone + P.CONTEXT_GAIN, 6)
+    assert P.spans("x 4111111111111111", 0.9) == [] and P.spans("card 4111111111111111", 0.9)
+
+
+def test_overlaps_leave_the_better_span():
+    assert kinds("a.b@1.2.3.4.example.com") == [("a.b@1.2.3.4.example.com", "email")]
+
+
+def test_table_equals_a_plain_scan(docs):
+    got = sorted((r["doc_id"], r["start"], r["end"], r["kind"]) for r in P.personal_data(docs).collect())
+    rows = docs.collect()
+    assert got == sorted((r["doc_id"], a, b, k) for r in rows for a, b, k, _ in P.spans(r["text"]))
+    mails = {(r["doc_id"], m.start()) for r in rows for m in re.finditer(r"\b[\w.]+@mail\d\.example\.com", r["text"])}
+    assert mails <= {(i, a) for i, a, _, k in got if k == "email"}
+
+
+def test_redaction(spark, docs):
+    before = {r["doc_id"]: r for r in docs.collect()}
+    after = P.redact(docs).collect()
+    assert len(after) == len(before) and P.redact(docs).columns == docs.columns
+    for r in after:
+        assert r["text"] == P.redacted(before[r["doc_id"]]["text"]) and r["n_chars"] == len(r["text"])
+    assert P.redacted("x 4111111111111111 y 10.0.0.1") == "x [CARD] y [IP]"
+    assert P.spans(P.redacted("mail a@b.example.com")) == []
+
+
+def test_odd_rows(odd, empty):
+    rows = [(r["doc_id"], r["kind"]) for r in P.personal_data(odd).collect()]
+    assert rows == [(None, "card")]
+    out = {r["doc_id"]: r["text"] for r in P.redact(odd).collect()}
+    assert P.redact(odd).count() == odd.count() and out[2] is None and out[3] == ""
+    assert P.personal_data(empty).count() == 0 and P.redact(empty).count() == 0
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("a" * 200_000, "a." * 100_000 + "@", "1 " * 100_000, "1-" * 100_000, "+1" * 100_000, "DE12 " * 40_000, "f" * 200_000 + "g"):
+        P.spans(text)
+    assert time.time() - began < 20
