@@ -106,7 +106,7 @@ def segment_blooms(postings_by_segment: DataFrame, rate: float = 0.01) -> DataFr
 
 def _bloom_places(gram, bits, hashes):
     one, two = F.xxhash64(gram), F.xxhash64(gram, F.lit(1))
-    return F.transform(F.sequence(F.lit(0), hashes - 1), lambda i: F.pmod(one + i * two, bits))
+    return F.transform(F.sequence(F.lit(0), hashes - 1), lambda i: F.pmod(F.pmod(one, bits) + i * F.pmod(two, bits), bits))
 
 
 def might_contain(blooms: DataFrame, trigrams: list[int]) -> DataFrame:

@@ -80,7 +80,7 @@ def scan_tree(spark: SparkSession, root: str, patterns: list[str] | None = None)
     """
     base = os.path.realpath(root)
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    relative = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/*" + _quoted(base) + "/", "")
+    relative = F.regexp_replace("path", "^file:/*" + _quoted(base) + "/", "")
     found = listed.select(relative.alias("path"), F.unix_seconds("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
     links = [os.path.relpath(os.path.join(d, f), base) for d, dirs, names in os.walk(base) for f in [*dirs, *names] if os.path.islink(os.path.join(d, f))]
     found = found.where(F.col("size").between(1, model.MAX_FILE_BYTES) & ~model.extension(F.col("path")).isin(*sorted(model.BINARY_EXTENSIONS)))
@@ -95,16 +95,16 @@ def _quoted(path: str) -> str:
 
 
 def split_rejected(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files whose content is text, with ``text`` and ``flags``, and those rejected as binary, with path and time alone."""
-    binary = T.is_binary(F.col("content"))
-    good = files.where(~binary & T.is_utf8(F.col("content"))).select(
+    """Files whose content is UTF-8 text, with ``text`` and ``flags``, and the rejected others, with path and time alone."""
+    rejected = T.is_binary(F.col("content")) | ~T.is_utf8(F.col("content"))
+    good = files.where(~rejected).select(
         "path",
         "mtime",
         "size",
         F.decode("content", "UTF-8").alias("text"),
         F.when(T.is_minified(F.col("content")), model.MINIFIED).otherwise(0).alias("flags"),
     )
-    return good, files.where(binary).select("path", "mtime")
+    return good, files.where(rejected).select("path", "mtime")
 
 
 def find_root(start: str, indexed=lambda p: False) -> str:
