@@ -65,7 +65,8 @@ BINARY_EXTENSIONS = frozenset(
     mdb mdf mkv mov mp3 mp4 nupkg o obj oga ogg otf p12 p7b p7s pak pdb pdf pfx png ppt pptx psd rar snk so dylib sqlite svgz
     tar tif tiff ttf war wasm wav webm webp woff woff2 xls xlsx xz zip""".split()
 )
-IGNORED_DIRS = (".git", "node_modules", "target", ".codesearch", "__pycache__", ".venv", "venv")
+#: Folders that are never indexed, besides hidden ones.
+IGNORED_DIRS = ("__pycache__", "node_modules", "target", "venv")
 
 
 def basename(path: Column) -> Column:

@@ -20,6 +20,8 @@ from .streaming import changes
 
 #: 2025-01-01, the clock that scores are taken at.
 NOW = 1735689600
+#: Formats of dates and times in SQL.
+_DAY, _TIME = "%Y-%m-%d", "%H:%M:%S"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -325,8 +327,8 @@ def corpus_stats(spark, d):
 @register(
     "size_and_time",
     _sql(
-        select="""SELECT doc_id, CASE WHEN size >= 1024 THEN format('{:.2f} KB', size / 1024.0) ELSE size || ' bytes' END AS size_text,
-                  strftime(make_timestamp(mtime * 1000000), '%Y-%m-%d %H:%M:%S UTC') AS mtime_text FROM docs"""
+        select=f"""SELECT doc_id, CASE WHEN size >= 1024 THEN format('{{:.2f}} KB', size / 1024.0) ELSE size || ' bytes' END AS size_text,
+                  strftime(make_timestamp(mtime * 1000000), '{_DAY} {_TIME} UTC') AS mtime_text FROM docs"""
     ),
 )
 def size_and_time(spark, d):
@@ -468,10 +470,10 @@ def batch_changes(spark, d):
 @register(
     "debounce_sessions",
     _EVENTS.replace("WITH RECURSIVE", "WITH").rstrip(",")
-    + """,
+    + f""",
 k AS (SELECT ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, event_id) < INTERVAL 300 SECOND THEN 0 ELSE 1 END AS new, event_id FROM ev WHERE kind IS NOT NULL),
 g AS (SELECT ts, sum(new) OVER (ORDER BY ts, event_id) AS session FROM k)
-SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 300 SECOND, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS n_events FROM g GROUP BY session""",
+SELECT strftime(min(ts), '{_DAY} {_TIME}.%f') AS start, strftime(max(ts) + INTERVAL 300 SECOND, '{_DAY} {_TIME}.%f') AS "end", count(*) AS n_events FROM g GROUP BY session""",
 )
 def debounce_sessions(spark, d):
     found = changes.debounced(events_of(spark, d), 300_000)
@@ -481,8 +483,8 @@ def debounce_sessions(spark, d):
 @register(
     "flush_windows",
     _EVENTS.replace("WITH RECURSIVE", "WITH").rstrip(",")
-    + """
-SELECT strftime(time_bucket(INTERVAL 60 SECOND, ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n_events, count(DISTINCT path) AS n_paths FROM ev WHERE kind IS NOT NULL GROUP BY 1""",
+    + f"""
+SELECT strftime(time_bucket(INTERVAL 60 SECOND, ts), '{_DAY} {_TIME}.%f') AS start, count(*) AS n_events, count(DISTINCT path) AS n_paths FROM ev WHERE kind IS NOT NULL GROUP BY 1""",
 )
 def flush_windows(spark, d):
     return changes.flush_windows(events_of(spark, d)).select(_clock("start"), "n_events", "n_paths")

@@ -10,8 +10,9 @@ from sondage.plans import compile as C
 from sondage.plans.parser import parse_query
 from sondage.plans.syntax import And, Boosted, Literal, Near, Not, Or, Phrase, Regex
 
+MAIN = "src/main.rs"
 FILES = [
-    ("src/main.rs", "fn main() {\n    let Config = load();\n    println!(\"hello\");\n}\n"),
+    (MAIN, "fn main() {\n    let Config = load();\n    println!(\"{}\", 1);\n}\n"),
     ("src/lib.rs", "// TODO: optimise\npub fn load() -> config {\r\n    handleError(1);\n}"),
     ("docs/readme.md", "The config file\n\nGröße is ERROR here\nünïcode error"),
     ("empty.txt", ""),
