@@ -16,13 +16,17 @@ follow different words is a maximal repeat, reported with all its occurrences.
 
 from __future__ import annotations
 
+import itertools
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import cut, small, table
-from .wordgrams import Words, finalise, gram_codes, signed, slices, window_minima, words_of
+from .wordgrams import RunCodes, Words, finalise, gram_codes, signed, slices, window_minima, words_of
 
 MIN_WORDS = 50
 #: Buckets of suffixes for each shuffle partition; a bucket is sorted in memory.
@@ -106,26 +110,61 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
     return order, common
 
 
-def maximal_intervals(common: np.ndarray, left: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Intervals ``(first, last, length)`` of a suffix array that are maximal repeats of at least ``least`` symbols.
+def _merge(a: list[int], gap: int, b: list[int], other: int) -> tuple[list[int], int]:
+    """Union of two sorted lists and its least gap; the shorter goes into the longer."""
+    if len(b) > len(a):
+        a, gap, b, other = b, other, a, gap
+    gap = min(gap, other)
+    if len(b) * 8 < len(a):
+        for x in b:
+            at = bisect_left(a, x)
+            if at:
+                gap = min(gap, x - a[at - 1])
+            if at < len(a):
+                gap = min(gap, a[at] - x)
+            a.insert(at, x)
+    else:
+        a.extend(b)
+        a.sort()
+        gap = int(np.diff(np.array(a)).min())
+    return a, gap
+
+
+def maximal_intervals(common: np.ndarray, left: np.ndarray, least: int, leaf: Callable[[int], list[int]]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Intervals of a suffix array that are maximal repeats of at least ``least`` symbols: first entry, length, places.
 
     ``left`` holds the symbol before each suffix, negative if there is none; an interval counts if two of them differ or one is
-    missing, as then no extension to the left keeps all occurrences.
+    missing, as then no extension to the left keeps all occurrences.  ``leaf`` gives the sorted places of an entry.  Of places
+    nearer than the length, from left to right, the later are left out; the cost of that is in proportion to what stays, so
+    that a long loop, whose intervals are nested, takes no quadratic time.
     """
-    out: list[tuple[int, int, int]] = []
-    # For each place, where its run of equal left symbols began: an interval is uniform if its first and last share a run.
+    # An interval is uniform to the left if its first and last entries are in one run of equal symbols.
     run = np.zeros(len(left), np.int64)
     if len(left) > 1:
         run[1:] = np.cumsum((left[1:] != left[:-1]) | (left[1:] < 0))
-    stack: list[tuple[int, int]] = []
+    stack: list[list] = []
     for i, depth in enumerate([*common[1:].tolist(), 0], 1):
-        first = i - 1
+        first, (places, gap) = i - 1, (leaf(i - 1), 0)
+        gap = int(np.diff(np.array(places)).min()) if len(places) > 1 else 1 << 62
         while stack and stack[-1][1] > depth:
-            first, high = stack.pop()
+            first, high, mine, near = stack.pop()
+            places, gap = _merge(mine, near, places, gap)
             if run[first] != run[i - 1] or left[first] < 0:
-                out.append((first, i - 1, high))
-        if depth >= least and (not stack or stack[-1][1] < depth):
-            stack.append((first, depth))
+                kept = np.array(places) if gap >= high else np.array(_apart(places, high))
+                if len(kept) > 1:
+                    yield first, high, kept
+        if depth >= least:
+            if stack and stack[-1][1] == depth:
+                stack[-1][2], stack[-1][3] = _merge(stack[-1][2], stack[-1][3], places, gap)
+            else:
+                stack.append([first, depth, places, gap])
+
+
+def _apart(places: list[int], n: int) -> list[int]:
+    out, at = [], 0
+    while at < len(places):
+        out.append(places[at])
+        at = bisect_left(places, places[at] + n, at)
     return out
 
 
@@ -236,24 +275,28 @@ def scan(passages: pa.Table, least: int) -> pa.Table:
     left = np.where(order > first[owner], names[order - 1], -1)
     many = np.array([len(h) for h in homes])[owner]
     reach = first[owner] + size[owner] - order
-    found = maximal_intervals(common, left, least)
+    # A place is the text's number and the word's, in one integer.
+    texts, number = np.unique(np.concatenate(homes)[:, 0], return_inverse=True)
+    ends = np.cumsum([len(h) for h in homes])
+    base = [(number[e - len(h) : e].astype(np.int64) << 32) + h[:, 1] for h, e in zip(homes, ends.tolist(), strict=True)]
+    offset = order - first[owner] - led[owner]
+
+    def leaf(x: int) -> list[int]:
+        return sorted((base[owner[x]] + offset[x]).tolist())
+
+    runs = RunCodes(code)
+    found = maximal_intervals(common, left, least, leaf)
     # Copies that begin their texts are a repeat by themselves, unless they share its whole length with a neighbour.
     high = np.maximum(common, np.r_[common[1:], 0])
-    found += [(x, x, int(reach[x])) for x in np.flatnonzero((left < 0) & (many > 1) & (reach > high) & (reach >= least)).tolist()]
-    # All occurrences in the order of the suffix array; those of entry x are at[x]:at[x + 1].
-    at = np.r_[0, np.cumsum(many)]
-    entry = np.repeat(np.arange(len(order)), many)
-    which = np.concatenate(homes)[np.r_[0, np.cumsum([len(h) for h in homes])][owner[entry]] + np.arange(len(entry)) - at[entry]]
-    doc = which[:, 0]
-    place = which[:, 1] + (order - first[owner] - led[owner])[entry]
+    alone = ((x, int(reach[x]), np.array(_apart(leaf(x), int(reach[x])))) for x in np.flatnonzero((left < 0) & (many > 1) & (reach > high) & (reach >= least)).tolist())
     columns: list[list[np.ndarray]] = [[] for _ in range(6)]
-    for a, b, n in found:
-        x, y = apart(doc[at[a] : at[b + 1]], place[at[a] : at[b + 1]], n)
-        if len(x) < 2:
+    for x, n, places in itertools.chain(found, alone):
+        if len(places) < 2:
             continue
-        group = np.bitwise_xor.reduce(finalise(code[order[a] : order[a] + n] + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        for c, v in zip(columns, (group.astype(np.int64), n, len(x), x, y, y + n), strict=True):
-            c.append(np.broadcast_to(v, len(x)))
+        group = finalise(runs.of(order[x : x + 1], n) ^ np.uint64(n))[0]
+        start = places & 0xFFFFFFFF
+        for c, v in zip(columns, (group.astype(np.int64), n, len(places), texts[places >> 32], start, start + n), strict=True):
+            c.append(np.broadcast_to(v, len(places)))
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
     return pa.table(
         [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)).cast(ty) for c, ty in zip(columns, types, strict=True)],
@@ -261,28 +304,5 @@ def scan(passages: pa.Table, least: int) -> pa.Table:
     )
 
 
-def apart(doc: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences without those that overlap the one before in their text, taken from left to right."""
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    close = np.flatnonzero((doc[1:] == doc[:-1]) & (place[1:] - place[:-1] < n))
-    if not len(close):
-        return doc, place
-    keep = np.ones(len(doc), bool)
-    done = -1
-    for x in close.tolist():
-        if x + 1 <= done:
-            continue
-        # From x on, jump from each occurrence that stays to the next that is clear of it.
-        end = int(np.searchsorted(doc, doc[x], side="right"))
-        i = x
-        while i < end:
-            j = i + 1 + int(np.searchsorted(place[i + 1 : end], place[i] + n))
-            keep[i + 1 : j] = False
-            i = j
-        done = end
-    return doc[keep], place[keep]
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"))

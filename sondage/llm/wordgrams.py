@@ -106,6 +106,18 @@ def gram_codes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, doc[: n - k + 1] == doc[k - 1 :]
 
 
+class RunCodes:
+    """Hash of any run of words in constant time; equal runs have equal hashes wherever they are."""
+
+    def __init__(self, code: np.ndarray):
+        self.sums = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(code * _powers(_GRAM_BASE, len(code))[: len(code)], out=self.sums[1:])
+        self.back = _powers(_GRAM_INVERSE, len(code) + 1)
+
+    def of(self, start: np.ndarray | int, n: np.ndarray | int) -> np.ndarray:
+        return (self.sums[start + n] - self.sums[start]) * self.back[start]
+
+
 def sliding(a: np.ndarray, w: int, best: np.ufunc) -> np.ndarray:
     """``best`` (np.minimum or np.maximum) of each run of ``w`` neighbours."""
     done, out = 1, a
