@@ -56,12 +56,15 @@ def _ssn(text: str) -> bool:
 
 
 def _secret(text: str) -> bool:
-    return any(c.isdigit() for c in text) and any(c.isalpha() for c in text) and len(set(text)) >= 8
+    return any(c.isdigit() for c in text) and any(c.isalpha() for c in text) and len(set(text)) >= 6
 
 
 @dataclass(frozen=True)
 class Kind:
-    """``base`` is the score of a proposal, ``confirmed`` what a passed validator makes it; without one a span is dropped."""
+    """A pattern that proposes spans, its group if it has one, and their scores.
+
+    ``confirmed`` is the score of what passes the validator; what doesn't is dropped.  Without a validator ``base`` is the score.
+    """
 
     name: str
     pattern: re.Pattern
@@ -69,22 +72,26 @@ class Kind:
     confirmed: float
     valid: object
     context: re.Pattern
-    must: bool = True
 
 
 def _words(*words: str) -> re.Pattern:
     return re.compile(r"(?<![a-z])(?:" + "|".join(words) + r")(?![a-z])", re.IGNORECASE)
 
 
+_SECRET_WORDS = _words("token", "secret", "key", "api", "password", "passwd", "bearer", "auth")
 #: In order of precedence among overlapping spans of equal score.
 KINDS = (
     Kind("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])", re.ASCII), 0.8, 0.8, None, _words("e-?mail", "mail", "contact", "correo", "kontakt", "courriel")),
     Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.IGNORECASE | re.ASCII), 0.2, 0.9, mod97, _words("iban", "account", "bank", "konto", "cuenta", "compte")),
-    Kind("card", re.compile(r"(?<![A-Za-z0-9.-])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9])", re.ASCII), 0.2, 0.8, _card, _words("card", "credit", "visa", "mastercard", "payment", "karte", "tarjeta", "carte")),
-    Kind("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?![\dA-Za-z])|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)", re.ASCII), 0.3, 0.6, _phone, _words("phone", "tel", "call", "mobile", "fax", "telefon", "tel[eé]fono", "t[eé]l[eé]phone")),
+    Kind("card", re.compile(r"(?<![A-Za-z0-9.-])(?:\d{13,19}|\d{4}(?: \d{4}){3}(?: \d{1,3})?|\d{4}(?:-\d{4}){3}(?:-\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?![A-Za-z0-9])", re.ASCII), 0.2, 0.8, _card, _words("card", "credit", "visa", "mastercard", "payment", "karte", "tarjeta", "carte")),
+    Kind("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?![\dA-Za-z]|\.\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)", re.ASCII), 0.3, 0.6, _phone, _words("phone", "tel", "call", "mobile", "fax", "telefon", "tel[eé]fono", "t[eé]l[eé]phone")),
     Kind("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII), 0.3, 0.5, _ssn, _words("ssn", "social", "security")),
     Kind("ip", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)", re.ASCII), 0.3, 0.6, _ip, _words("ip", "address", "host", "server", "login")),
-    Kind("secret", re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,64}|[0-9A-Fa-f]{32,128})(?![A-Za-z0-9])", re.ASCII), 0.3, 0.4, _secret, _words("token", "secret", "key", "api", "password", "passwd", "bearer", "auth")),
+    # Keys that their issuers' prefixes give away.
+    Kind("secret", re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,128}|xox[abprs]-[A-Za-z0-9-]{10,128}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,1024}\.[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,1024})(?![A-Za-z0-9])", re.ASCII), 0.5, 0.8, _secret, _SECRET_WORDS),
+    Kind("secret", re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,128}(?![A-Za-z0-9])", re.ASCII), 0.3, 0.4, _secret, _SECRET_WORDS),
+    # A value that a name of a secret is set to.
+    Kind("secret", re.compile(r"(?<![A-Za-z])(?:password|passwd|pwd|passphrase|secret|token|api[ _-]?key|access[ _-]?key|auth[ _-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,256})", re.IGNORECASE | re.ASCII), 0.5, 0.7, _secret, _words("login", "user", "credentials?")),
 )
 
 
@@ -93,17 +100,18 @@ def spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, str,
     found = []
     for rank, kind in enumerate(KINDS):
         for m in kind.pattern.finditer(text):
+            a, b = m.span(m.re.groups)
             if kind.valid is None:
                 score = kind.base
-            elif kind.valid(m[0]):
+            elif kind.valid(text[a:b]):
                 score = kind.confirmed
             else:
                 score = 0.0
-            near = text[max(0, m.start() - CONTEXT_CHARS) : m.start()] + " " + text[m.end() : m.end() + CONTEXT_CHARS]
+            near = text[max(0, a - CONTEXT_CHARS) : a] + " " + text[b : b + CONTEXT_CHARS]
             if score and kind.context.search(near):
                 score = min(1.0, score + CONTEXT_GAIN)
             if score >= min_score:
-                found.append((-score, m.start() - m.end(), rank, m.start(), m.end(), kind.name))
+                found.append((-score, a - b, rank, a, b, kind.name))
     out: list[tuple[int, int, str, float]] = []
     for score, _, _, a, b, name in sorted(found):
         if all(b <= x[0] or a >= x[1] for x in out):
