@@ -113,7 +113,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WOR
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without those that share a run of ``min_words`` words with a benchmark item; the others stay as they are."""
     hits = cut(contaminated(docs, benchmark, min_words).select("doc_id").distinct())
-    return docs.join(small(hits, 16), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(hits, 48), "doc_id", "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

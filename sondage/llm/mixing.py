@@ -12,7 +12,7 @@ import random
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import cut, small, table
+from .runtime import BROADCAST_BYTES, cut, small, table
 
 SEED = 17
 #: Tokens that are left to the dynamic programme; lengths beyond go to the bulk.
@@ -132,7 +132,7 @@ def chosen(docs: DataFrame, weights: dict[str, float] | None = None, total: int
     quotas = spark.createDataFrame(quota, "source string, n_tokens bigint, quota bigint")
     order = Window.partitionBy("source", "n_tokens").orderBy(F.xxhash64("id", F.lit(seed)), "id")
     return (
-        measured.join(F.broadcast(quotas) if len(quota) < 1_000_000 else quotas, ["source", "n_tokens"])
+        measured.join(F.broadcast(quotas) if len(quota) * 100 <= BROADCAST_BYTES else quotas, ["source", "n_tokens"])
         .withColumn("place", F.row_number().over(order))
         .where("place <= quota")
         .select(F.col("id").alias("doc_id"), F.when(F.col("source") != _NO_SOURCE, F.col("source")).alias("source"), "n_tokens")
@@ -142,7 +142,7 @@ def chosen(docs: DataFrame, weights: dict[str, float] | None = None, total: int
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` that make the mix, with their columns."""
     ids = cut(chosen(docs, weights, total, seed).select("doc_id"))
-    return docs.join(small(ids, 16), "doc_id", "left_semi").select(docs.columns)
+    return docs.join(small(ids, 48), "doc_id", "left_semi").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

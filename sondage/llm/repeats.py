@@ -237,7 +237,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     # Where the ids of texts with edges are few, the others needn't be shuffled.
     ids = state.select(F.col("doc").alias("id"))
-    near = small(ids, 16)
+    near = small(ids, 48)
     some = texts if near is ids else texts.join(near, "id", "left_semi")
     passages = (
         some.join(state, F.col("id") == F.col("doc"))
