@@ -232,6 +232,10 @@ _GRAMS = """
 b AS (SELECT doc_id, lower(text) AS s FROM docs),
 g AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)))) AS g FROM b WHERE length(s) >= 3))"""
 
+_BYTE_GRAMS = """
+b AS (SELECT doc_id, hex(encode(lower(text))) AS h FROM docs),
+g AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_distinct(list_transform(range(0, length(h) // 2 - 2), lambda i: substr(h, 2 * i + 1, 6)))) AS g FROM b WHERE length(h) >= 6))"""
+
 
 @register("token_postings", _sql(_WORDS, select="SELECT token, count(DISTINCT doc_id) AS df, sum(doc_id) AS id_sum FROM (SELECT DISTINCT token, doc_id FROM tok) GROUP BY token").replace("sum(doc_id)", "CAST(sum(doc_id) AS BIGINT)"))
 def token_postings(spark, d):
@@ -271,6 +275,22 @@ def stop_grams(spark, d):
     return _spelled(I.stop_grams(I.document_frequency(I.grams(docs)), docs.count(), cap=4096))
 
 
+def _in_hex(frequency: DataFrame) -> DataFrame:
+    return frequency.select(F.lpad(F.hex("gram"), 6, "0").alias("gram"), "df")
+
+
+@register("byte_trigram_df", _sql(_BYTE_GRAMS, select="SELECT g AS gram, count(*) AS df FROM g GROUP BY g"))
+def byte_trigram_df(spark, d):
+    """Frequencies of all byte trigrams, in hexadecimal."""
+    return _in_hex(I.document_frequency(I.grams(docs_of(spark, d))))
+
+
+@register("byte_stop_grams", _sql(_BYTE_GRAMS, select="SELECT g AS gram, count(*) AS df FROM g GROUP BY g HAVING count(*) >= (SELECT count(*) // 2 + 1 FROM docs)"))
+def byte_stop_grams(spark, d):
+    docs = docs_of(spark, d)
+    return _in_hex(I.stop_grams(I.document_frequency(I.grams(docs)), docs.count(), cap=1 << 24))
+
+
 @register("tokens_containing", _sql(_WORDS, select="SELECT DISTINCT doc_id FROM tok WHERE contains(token, 'icen')"))
 def tokens_containing(spark, d):
     return I.containing(I.token_documents(docs_of(spark, d)), "icen")

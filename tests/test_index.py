@@ -1,5 +1,7 @@
 """Index tables, narrowing and upkeep."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from sondage.operators import search as S
 from sondage.operators import upkeep as U
 from sondage.plans import narrow
 from sondage.plans.parser import parse_query
+from sondage.queries import QUERIES
 from sondage.sources.corpus import from_documents
 
 FILES = [("a.rs", "hello world foo"), ("b.rs", "hello big world"), ("c.py", "the helloWorld_test"), ("d.md", ""), ("e.md", "world hello")]
@@ -58,6 +61,16 @@ def test_postings(make_docs):
     assert {r["token"]: r["doc_ids"] for r in I.posting_lists(I.token_documents(docs), "token").collect()}["hello"] == [1, 2, 3, 5]
 
 
+def test_registered_byte_trigrams_are_all_of_them(spark, tmp_path):
+    texts = ["Größe", "größe ÄÖ", "日本語", "ab", "", "Größe größe", "größer"]
+    rows = [(k, t, "de", "src1", 0) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    raw = [t.lower().encode() for t in texts]
+    want = Counter(g for b in raw for g in {b[i : i + 3].hex().upper() for i in range(len(b) - 2)})
+    assert {r["gram"]: r["df"] for r in QUERIES["byte_trigram_df"](spark, tmp_path).collect()} == want
+    assert {r["gram"]: r["df"] for r in QUERIES["byte_stop_grams"](spark, tmp_path).collect()} == {g: n for g, n in want.items() if n >= 4} != {}
+
+
 def test_stop_grams(spark):
     frequency = spark.createDataFrame([(1, 10), (2, 6), (3, 5), (4, 6)], "gram int, df bigint")
     assert [r["gram"] for r in I.stop_grams(frequency, 10).collect()] == [1, 2, 4]
