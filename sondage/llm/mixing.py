@@ -8,6 +8,7 @@ subset of lengths allows it.  Documents are then chosen by seeded order within e
 from __future__ import annotations
 
 import random
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ SEED = 17
 RESIDUAL_TOKENS = 32768
 #: Without given weights, a source weighs its tokens to this power.
 TEMPERATURE = 0.5
+#: Then the scarcest sources that together hold at most this share of all tokens are kept whole and don't scale the others down.
+STRAY_SHARE = 0.01
 _NO_SOURCE = "\x00none"
 
 
@@ -84,16 +87,22 @@ def budgets(tokens: dict[str, int], weights: dict[str, float] | None = None, tot
     """Token budget of each source.
 
     Without ``weights`` each source weighs its tokens to the power :data:`TEMPERATURE`; sources without a weight get nothing.
-    Without ``total`` the budgets are the largest in these proportions that no source falls short of.
+    Without ``total`` the budgets are the largest in these proportions that no source falls short of; without both, the
+    scarcest sources, with at most :data:`STRAY_SHARE` of all tokens together, may fall short, and keep all they have.
     """
+    spare = 0.0
     if weights is None:
+        spare = STRAY_SHARE * sum(tokens.values())
         weights = {s: t**TEMPERATURE for s, t in tokens.items() if t > 0}
     weights = {s: w for s, w in weights.items() if w > 0 and tokens.get(s, 0) > 0}
     whole = sum(weights.values())
     if not whole:
         return {}
     if total is None:
-        return {s: min(tokens[s], int(w * min(tokens[x] / y for x, y in weights.items()))) for s, w in weights.items()}
+        scarcest = sorted(weights, key=lambda s: tokens[s] / weights[s])
+        stray = {s for s, held in zip(scarcest, accumulate(tokens[s] for s in scarcest)) if held <= spare}
+        scale = min(tokens[s] / weights[s] for s in scarcest[len(stray) :])
+        return {s: tokens[s] if s in stray else min(tokens[s], int(w * scale)) for s, w in weights.items()}
     return {s: min(tokens[s], int(total * w / whole)) for s, w in weights.items()}
 
 

@@ -31,6 +31,16 @@ def test_budgets():
     assert M.budgets({"a": 10}, {"x": 1.0}) == {}
 
 
+def test_stray_sources_do_not_set_the_scale(spark):
+    even = {f"s{k}": 1_000_000 for k in range(10)}
+    assert M.budgets({"a": 10_000_000, "x": 5}) == {"a": 10_000_000, "x": 5}
+    assert M.budgets({"a": 4_000_000, "b": 1_000_000, "x": 5, "y": 700}) == {"a": 2_000_000, "b": 1_000_000, "x": 5, "y": 700}
+    assert M.budgets(even | {"x": 5}) == even | {"x": 5} and M.budgets({f"s{k}": 400 for k in range(500)}) == {f"s{k}": 400 for k in range(500)}
+    assert M.budgets({"a": 100, "x": 1}, {"a": 1, "x": 1}) == {"a": 1, "x": 1}
+    rows = [(k, "w " * 50, "hot") for k in range(400)] + [(1000, "five words of stray text", None)]
+    assert M.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).count() == 401
+
+
 def test_table(docs):
     rows = M.chosen(docs).collect()
     tokens = {}
