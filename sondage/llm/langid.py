@@ -20,6 +20,8 @@ from .wordgrams import slices, string_bytes
 #: Normalised bytes of the labelled sample for each language, and the documents that it is taken from.
 TRAIN_BYTES = 32768
 TRAIN_DOCS = 96
+#: Characters from which a text is preferred for the sample; shorter ones only fill up languages with fewer than ``TRAIN_DOCS`` such.
+TRAIN_CHARS = 200
 #: Phrases end at multiples of so many normalised bytes, so that long texts are parsed side by side.
 SEGMENT = 512
 #: Bits a byte beyond which a text is in none of the languages.  One phrase isn't counted here, or else short texts would fail.
@@ -131,18 +133,24 @@ class Parser:
 def labelled_samples(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs: int = TRAIN_DOCS) -> dict[str, bytes]:
     """Normalised text of each language in column ``lang``: of ``train_docs`` documents by hash order, an equal share of each.
 
-    The result is bounded by the two parameters and the number of languages, whatever the size of ``docs``.
+    Texts of :data:`TRAIN_CHARS` characters or more come first and share among themselves; shorter ones follow as far as there is
+    room, and have the whole sample where a language has no others.  Texts without letters are left out.  The result is bounded
+    by the two parameters and the number of languages, whatever the size of ``docs``.
     """
-    labelled = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("lang").alias("language"), "text").where(
-        "id is not null and language is not null and text is not null and length(text) >= 200"
+    labelled = (
+        docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("lang").alias("language"), "text")
+        .where("id is not null and language is not null and text is not null")
+        .where(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]"))
+        .withColumn("long", F.length("text") >= TRAIN_CHARS)
     )
-    order = Window.partitionBy("language").orderBy(F.xxhash64("id", F.lit(11)), "id")
-    chosen = labelled.select("id", "language").withColumn("n", F.row_number().over(order)).where(F.col("n") <= train_docs)
-    rows = labelled.join(F.broadcast(chosen), ["id", "language"]).select("language", "n", F.substring("text", 1, train_bytes).alias("text")).collect()
+    order = Window.partitionBy("language").orderBy(F.desc("long"), F.xxhash64("id", F.lit(11)), "id")
+    chosen = labelled.select("id", "language", "long").withColumn("n", F.row_number().over(order)).where(F.col("n") <= train_docs)
+    rows = labelled.join(F.broadcast(chosen), ["id", "language", "long"]).select("language", "n", "long", F.substring("text", 1, train_bytes).alias("text")).collect()
     out: dict[str, bytes] = {}
     for language in sorted({r.language for r in rows}):
-        data, offsets = normalise(pa.array([r.text for r in sorted((r for r in rows if r.language == language), key=lambda r: (r.n, r.text))]))
-        share = -(-train_bytes // (len(offsets) - 1))
+        own = sorted((r for r in rows if r.language == language), key=lambda r: (r.n, r.text))
+        data, offsets = normalise(pa.array([r.text for r in own]))
+        share = -(-train_bytes // (sum(r.long for r in own) or len(own)))
         out[language] = b"".join(data[a : min(b, a + share)].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True))[:train_bytes]
     return {k: v for k, v in out.items() if v}
 

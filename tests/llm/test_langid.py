@@ -54,6 +54,19 @@ def test_accuracy(docs):
     assert right >= 0.97 * docs.count()
 
 
+def test_languages_of_short_texts_have_samples(spark):
+    short = ["der Hund sieht die Katze", "42", "", None, "die Katze liegt auf der Matte", "ein großer Hund"]
+    long = "the cat sat on the mat and looked at the dog with a word " * 5
+    rows = [(k, t, "de") for k, t in enumerate(short)] + [(10, long, "en"), (11, "a short one", "en"), (12, "7 " * 300, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    samples = L.labelled_samples(docs)
+    assert set(samples) == {"de", "en"}
+    assert len(samples["de"]) == sum(len(normal(short[k])) for k in (0, 4, 5)) and all(normal(short[k]) in samples["de"] for k in (0, 4, 5))
+    assert samples["en"] == normal(long) + normal("a short one")
+    assert L.labelled_samples(docs, train_docs=1)["en"] == normal(long) and L.labelled_samples(docs, train_bytes=250)["en"] == normal(long)[:250]
+    assert {r["doc_id"]: r["lang"] for r in L.in_known_language(docs, samples).collect()} == {0: "de", 4: "de", 5: "de", 10: "en", 11: "en"}
+
+
 def test_odd_rows(odd, empty):
     samples = {"en": normal("the cat sat on the mat and looked at the dog with a word ") * 3, "de": normal("der hund sieht die katze auf der matte") * 3}
     rows = L.identified(odd, samples).collect()
