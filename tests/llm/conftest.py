@@ -25,12 +25,12 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     rows = [(77, t, "en", None, None, 1, 1, 1, "s", "k", 1, 1, 1, "a", "l", 0.0, 1, 1, 1, "k", i, 1) for i, t in ODD]
-    return spark.createDataFrame(rows, CLASHING).withColumn("n_chars", F.length("text").cast("bigint")).cache()
+    return spark.createDataFrame(rows, CLASHING).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 @pytest.fixture(scope="session")
 def docs(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").cache()
+    return spark.read.parquet(f"{sf}/documents.parquet")
 
 
 @pytest.fixture(scope="session")
