@@ -16,10 +16,6 @@ follow different words is a maximal repeat, reported with all its occurrences.
 
 from __future__ import annotations
 
-import itertools
-from bisect import bisect_left
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +28,7 @@ MIN_WORDS = 50
 #: Buckets of suffixes for each shuffle partition; a bucket is sorted in memory.
 BUCKETS = 8
 
-REPEATS = "group_id bigint, n_words int, n_occurrences int, doc_id bigint, start_word int, end_word int"
+REPEATS = "array_id bigint, rank bigint, doc_id bigint, start_word int, end_word int, group_id bigint, n_words int, first_rank bigint, last_rank bigint"
 
 
 def _windows(part: pa.RecordBatch, least: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -48,7 +44,7 @@ def _packed(body: bytes) -> bytes:
 
 
 def anchors(texts: DataFrame, least: int) -> DataFrame:
-    """Columns ``id, pos, gram, before`` of the anchors of a frame with ``id, text``.
+    """Columns ``id, version, pos, gram, before`` of the anchors of a frame with ``id, version, text``.
 
     ``before`` hashes as many words before the anchor as a run can begin before it, and the one before those; it is null
     where the text begins within them.
@@ -66,14 +62,15 @@ def anchors(texts: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id").take(pa.array(doc)),
+                        part.column("version").take(pa.array(doc)),
                         pa.array((at - words.first[doc]).astype(np.int32)),
                         signed(grams[at]),
                         pa.array(before[np.where(some, at - back, 0)].view(np.int64) if len(at) else np.zeros(0, np.int64), mask=~some),
                     ],
-                    names=["id", "pos", "gram", "before"],
+                    names=["id", "version", "pos", "gram", "before"],
                 )
 
-    return texts.mapInArrow(emit, "id bigint, pos int, gram bigint, before bigint")
+    return texts.mapInArrow(emit, "id bigint, version bigint, pos int, gram bigint, before bigint")
 
 
 def suffix_order(text: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,76 +107,71 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
     return order, common
 
 
-def _merge(a: list[int], gap: int, b: list[int], other: int) -> tuple[list[int], int]:
-    """Union of two sorted lists and its least gap; the shorter goes into the longer."""
-    if len(b) > len(a):
-        a, gap, b, other = b, other, a, gap
-    gap = min(gap, other)
-    if len(b) * 8 < len(a):
-        for x in b:
-            at = bisect_left(a, x)
-            if at:
-                gap = min(gap, x - a[at - 1])
-            if at < len(a):
-                gap = min(gap, a[at] - x)
-            a.insert(at, x)
-    else:
-        a.extend(b)
-        a.sort()
-        gap = int(np.diff(np.array(a)).min())
-    return a, gap
-
-
-def maximal_intervals(common: np.ndarray, left: np.ndarray, least: int, leaf: Callable[[int], list[int]]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Intervals of a suffix array that are maximal repeats of at least ``least`` symbols: first entry, length, places.
+def maximal_intervals(common: np.ndarray, left: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of a suffix array that are maximal repeats of at least ``least`` symbols: first and last entry, length, seam.
 
     ``left`` holds the symbol before each suffix, negative if there is none; an interval counts if two of them differ or one is
-    missing, as then no extension to the left keeps all occurrences.  ``leaf`` gives the sorted places of an entry.  Of places
-    nearer than the length, from left to right, the later are left out; the cost of that is in proportion to what stays, so
-    that a long loop, whose intervals are nested, takes no quadratic time.
+    missing, as then no extension to the left keeps all occurrences.  The seam is the first entry in the interval whose common
+    prefix with the one before is just the length: no other interval has it.
     """
     # An interval is uniform to the left if its first and last entries are in one run of equal symbols.
     run = np.zeros(len(left), np.int64)
     if len(left) > 1:
         run[1:] = np.cumsum((left[1:] != left[:-1]) | (left[1:] < 0))
-    stack: list[list] = []
+    out, stack = [], []
     for i, depth in enumerate([*common[1:].tolist(), 0], 1):
-        first, (places, gap) = i - 1, (leaf(i - 1), 0)
-        gap = int(np.diff(np.array(places)).min()) if len(places) > 1 else 1 << 62
+        first = i - 1
         while stack and stack[-1][1] > depth:
-            first, high, mine, near = stack.pop()
-            places, gap = _merge(mine, near, places, gap)
-            if run[first] != run[i - 1] or left[first] < 0:
-                kept = np.array(places) if gap >= high else np.array(_apart(places, high))
-                if len(kept) > 1:
-                    yield first, high, kept
-        if depth >= least:
-            if stack and stack[-1][1] == depth:
-                stack[-1][2], stack[-1][3] = _merge(stack[-1][2], stack[-1][3], places, gap)
-            else:
-                stack.append([first, depth, places, gap])
-
-
-def _apart(places: list[int], n: int) -> list[int]:
-    out, at = [], 0
-    while at < len(places):
-        out.append(places[at])
-        at = bisect_left(places, places[at] + n, at)
+            first, high, seam = stack.pop()
+            out.append((first, i - 1, high, seam))
+        if depth >= least and (not stack or stack[-1][1] < depth):
+            stack.append((first, depth, i))
+    first, last, high, seam = np.array(out, np.int64).reshape(-1, 4).T
+    diverse = (run[first] != run[last]) | (left[first] < 0)
+    return first[diverse], last[diverse], high[diverse], seam[diverse]
+
+
+def longest_over(first: np.ndarray, last: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """Length of the innermost of nested intervals over each of ``n`` entries; 0 where there is none."""
+    out, at, stack = np.zeros(n, np.int64), 0, []
+
+    def fill(end: int) -> None:
+        nonlocal at
+        if end > at:
+            out[at:end] = stack[-1][1]
+            at = end
+
+    for x in np.lexsort((-last, first)).tolist():
+        while stack and stack[-1][0] <= first[x]:
+            fill(stack[-1][0])
+            stack.pop()
+        if stack:
+            fill(int(first[x]))
+        at = max(at, int(first[x]))
+        stack.append((int(last[x]) + 1, int(high[x])))
+    while stack:
+        fill(stack[-1][0])
+        stack.pop()
     return out
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Groups of maximal repeats: every passage of at least ``min_words`` words that occurs twice and can be extended neither
-    to the left nor to the right without losing an occurrence, with all its occurrences.
+    to the left nor to the right without losing an occurrence, with all its occurrences, as an interval tree.
+
+    Each row is a place where such a passage begins, at ``rank`` of the suffix array ``array_id``: ``doc_id``, ``start_word`` and ``end_word``, past
+    the longest passage that begins there.  A row may also hold a group: ``group_id`` (hash of the passage), its ``n_words`` and the
+    ranks ``first_rank`` to ``last_rank`` of its occurrences in this array; these columns are null elsewhere.  So the rows are at most as
+    many as the words, though the occurrences of nested groups can be as many as their square; :func:`occurrences` lists them.
 
-    Columns: ``group_id`` (hash of the passage), ``n_words``, ``n_occurrences``, ``doc_id``, ``start_word``, ``end_word``.  ``docs`` needs
-    ``doc_id`` and ``text``; other columns are ignored.  Words are compared without case or punctuation; passages end at the end
-    of a text.  Null texts, texts of fewer words and rows with a null id have none.  Repeated rows (same id and text) count as
-    one; texts of one id count as one text.  Occurrences within one text count unless they overlap the one before, from left
-    to right; a passage that is left with one occurrence (a loop that overlaps itself) isn't reported.
+    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  Words are compared without case or punctuation; passages end at
+    the end of a text.  Null texts, texts of fewer words and rows with a null id have none.  Repeated rows (same id and text) count as
+    one; an id with several texts has the occurrences of each.  Occurrences within one text count, those that overlap too.  Equal
+    passages are one group; they are ranked by id and place.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id is not null and text is not null")
+    # An id may have several texts; the hash tells them apart.
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("version"), "text").where("id is not null and text is not null")
     found = cut(anchors(texts, min_words))
     twice = (
         found.groupBy("gram")
@@ -188,9 +180,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .select("gram", (F.expr("known < n or low != high")).alias("edge"))
     )
     state = (
-        found.select("id", "pos", "gram")
+        found.select("id", "version", "pos", "gram")
         .join(twice, "gram")
-        .groupBy(F.col("id").alias("doc"))
+        .groupBy(F.col("id").alias("doc"), F.col("version").alias("of"))
         .agg(F.collect_set(F.struct("pos", "edge")).alias("anchors"))
         .where(F.exists("anchors", lambda a: a["edge"]))
     )
@@ -226,13 +218,14 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     [
                         pa.array(target[rows]),
                         part.column("id").take(pa.array(doc)),
+                        part.column("version").take(pa.array(doc)),
                         pa.array((first - words.first[doc]).astype(np.int32)),
                         pa.array(led),
                         pa.array([len(b) for b in bodies], pa.int32()),
                         pa.array([_packed(b) for b in bodies], pa.binary()),
                         pa.array(places, pa.binary()),
                     ],
-                    names=["bucket", "id", "start", "led", "size", "body", "places"],
+                    names=["bucket", "id", "version", "start", "led", "size", "body", "places"],
                 )
 
     # Where the ids of texts with edges are few, the others needn't be shuffled.
@@ -240,9 +233,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     near = small(ids, 48)
     some = texts if near is ids else texts.join(near, "id", "left_semi")
     passages = (
-        some.join(state, F.col("id") == F.col("doc"))
-        .select("id", "text", "anchors")
-        .mapInArrow(spread, "bucket bigint, id bigint, start int, led boolean, size int, body binary, places binary")
+        some.join(state, (F.col("id") == F.col("doc")) & (F.col("version") == F.col("of")))
+        .select("id", "version", "text", "anchors")
+        .mapInArrow(spread, "bucket bigint, id bigint, version bigint, start int, led boolean, size int, body binary, places binary")
     )
     return passages.groupBy("bucket").applyInArrow(lambda t: scan(t, min_words), REPEATS)
 
@@ -252,9 +245,9 @@ def scan(passages: pa.Table, least: int) -> pa.Table:
 
     Equal passages are sorted once; their occurrences come back at the end.
     """
-    copies: dict[tuple, set[tuple[int, int]]] = {}
-    for i, start, *kind in zip(*(passages.column(c).to_pylist() for c in ("id", "start", "led", "size", "body", "places")), strict=True):
-        copies.setdefault(tuple(kind), set()).add((i, start))
+    copies: dict[tuple, set[tuple[int, int, int]]] = {}
+    for i, start, version, *kind in zip(*(passages.column(c).to_pylist() for c in ("id", "start", "version", "led", "size", "body", "places")), strict=True):
+        copies.setdefault(tuple(kind), set()).add((i, start, version))
     kinds = sorted(copies)
     homes = [np.array(sorted(copies[x]), np.int64) for x in kinds]
     led = np.array([x[0] for x in kinds], np.int64)
@@ -273,34 +266,38 @@ def scan(passages: pa.Table, least: int) -> pa.Table:
     back[wanted] = owner
     owner = back[order]
     left = np.where(order > first[owner], names[order - 1], -1)
+    # Entries of equal passages become neighbours that share all the rest of the passage.
     many = np.array([len(h) for h in homes])[owner]
     reach = first[owner] + size[owner] - order
-    # A place is the text's number and the word's, in one integer.
-    texts, number = np.unique(np.concatenate(homes)[:, 0], return_inverse=True)
-    ends = np.cumsum([len(h) for h in homes])
-    base = [(number[e - len(h) : e].astype(np.int64) << 32) + h[:, 1] for h, e in zip(homes, ends.tolist(), strict=True)]
-    offset = order - first[owner] - led[owner]
-
-    def leaf(x: int) -> list[int]:
-        return sorted((base[owner[x]] + offset[x]).tolist())
-
-    runs = RunCodes(code)
-    found = maximal_intervals(common, left, least, leaf)
-    # Copies that begin their texts are a repeat by themselves, unless they share its whole length with a neighbour.
-    high = np.maximum(common, np.r_[common[1:], 0])
-    alone = ((x, int(reach[x]), np.array(_apart(leaf(x), int(reach[x])))) for x in np.flatnonzero((left < 0) & (many > 1) & (reach > high) & (reach >= least)).tolist())
-    columns: list[list[np.ndarray]] = [[] for _ in range(6)]
-    for x, n, places in itertools.chain(found, alone):
-        if len(places) < 2:
-            continue
-        group = finalise(runs.of(order[x : x + 1], n) ^ np.uint64(n))[0]
-        start = places & 0xFFFFFFFF
-        for c, v in zip(columns, (group.astype(np.int64), n, len(places), texts[places >> 32], start, start + n), strict=True):
-            c.append(np.broadcast_to(v, len(places)))
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.table(
-        [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)).cast(ty) for c, ty in zip(columns, types, strict=True)],
-        names=["group_id", "n_words", "n_occurrences", "doc_id", "start_word", "end_word"],
+    entry = np.repeat(np.arange(len(order)), many)
+    head = np.r_[True, entry[1:] != entry[:-1]]
+    place = np.concatenate([homes[x] for x in owner.tolist()])
+    common = np.where(head, common[entry], reach[entry])
+    low, high, length, seam = maximal_intervals(common, left[entry], least)
+    longest = longest_over(low, high, length, len(entry))
+    kept = np.flatnonzero(longest)
+    rank = np.cumsum(longest > 0) - 1
+    group = np.full(len(entry), -1)
+    group[seam] = np.arange(len(seam))
+    group = group[kept]
+    codes = finalise(RunCodes(code).of(order[entry[low]], length) ^ length.astype(np.uint64)).view(np.int64)
+    start = place[kept, 1] + (order - first[owner] - led[owner])[entry[kept]]
+    columns = [np.full(len(kept), passages.column("bucket")[0].as_py()), rank[kept], place[kept, 0], start, start + longest[kept]]
+    columns = [pa.array(c) for c in columns] + [pa.array(np.append(c, 0)[group], mask=group < 0) for c in (codes, length, rank[low], rank[high])]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    return pa.table([c.cast(ty) for c, ty in zip(columns, types, strict=True)], names=[c.split()[0] for c in REPEATS.split(", ")])
+
+
+def occurrences(found: DataFrame) -> DataFrame:
+    """All occurrences of every group of :func:`repeats`: ``group_id, n_words, n_occurrences, doc_id, start_word, end_word``.
+
+    Groups may be nested, so that the rows can be many more than those of ``found``, which should be a written table.
+    """
+    groups = found.where("group_id is not null").select(
+        "array_id", "group_id", "n_words", (F.col("last_rank") - F.col("first_rank") + 1).cast("int").alias("n_occurrences"), F.explode(F.sequence("first_rank", "last_rank")).alias("rank")
+    )
+    return groups.join(found.select("array_id", "rank", "doc_id", "start_word"), ["array_id", "rank"]).select(
+        "group_id", "n_words", "n_occurrences", "doc_id", "start_word", (F.col("start_word") + F.col("n_words")).alias("end_word")
     )
 
 

@@ -24,7 +24,7 @@ def shared_runs(a, b, least):
 
 
 def maximal_repeats(docs, least):
-    """Rows (length, occurrences, id, start, end) of maximal repeats of (id, text) pairs, without overlaps in a text."""
+    """Rows (length, occurrences, id, start, end) of maximal repeats of (id, text) pairs, each with all its places."""
     from collections import defaultdict
 
     texts = [(i, words(t)) for i, t in docs]
@@ -42,12 +42,7 @@ def maximal_repeats(docs, least):
         right = {texts[d][1][a + n] if a + n < len(texts[d][1]) else (d,) for d, a in places}
         if len(left) < 2 or len(right) < 2:
             continue
-        kept = []
-        for d, a in sorted(places):
-            if not kept or kept[-1][0] != d or kept[-1][1] + n <= a:
-                kept.append((d, a))
-        if len(kept) > 1:
-            out |= {(n, len(kept), texts[d][0], a, a + n) for d, a in kept}
+        out |= {(n, len(places), texts[d][0], a, a + n) for d, a in places}
     return out
 
 

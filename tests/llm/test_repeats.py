@@ -9,8 +9,17 @@ from sondage.llm import repeats as R
 
 def found(spark, rows, least):
     df = spark.createDataFrame([(i, t, 3, "x") for i, t in rows], "doc_id bigint, text string, pos int, anchors string")
-    got = R.repeats(df, least).collect()
+    rows = R.repeats(df, least)
+    tree = [r.asDict() for r in rows.collect()]
+    assert len({(r["array_id"], r["rank"]) for r in tree}) == len(tree)
+    got = R.occurrences(rows).collect()
     assert len({(r["group_id"], r["doc_id"], r["start_word"]) for r in got}) == len(got)
+    # Every place is in the tree once, with the end of its longest passage.
+    longest = {}
+    for r in got:
+        place = r["doc_id"], r["start_word"]
+        longest[place] = max(longest.get(place, 0), r["end_word"])
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in tree) == sorted((*k, v) for k, v in longest.items())
     return {tuple(r)[1:] for r in got}
 
 
@@ -45,9 +54,28 @@ def test_all_occurrences_of_a_passage(spark):
     assert found(spark, docs, 50) == {(60, 30, i, 40, 100) for i in range(30)}
 
 
+def test_rows_do_not_outnumber_words(spark):
+    # Nested repeats: each copy ends one word later, so that the occurrences are quadratic in the words.
+    passage = [f"p{k}" for k in range(300)]
+    docs = [(i, " ".join(passage[: 100 + i]) + f" own{i}") for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = R.repeats(df, 50)
+    assert rows.count() == 150 and R.occurrences(rows).count() == sum(range(2, 151))
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    docs = [(1, f"{passage} one"), (1, f"{passage} two and more"), (1, f"{passage} one"), (2, "short")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = [tuple(r)[1:] for r in R.occurrences(R.repeats(df, 10)).collect()]
+    assert got == [(20, 2, 1, 0, 20)] * 2
+
+
 def test_odd_rows(spark, odd, empty):
-    rows = {tuple(r)[1:] for r in R.repeats(odd, 5).collect()}
+    rows = {tuple(r)[1:] for r in R.occurrences(R.repeats(odd.where("doc_id != 6"), 5)).collect()}
     assert (11, 2, 1, 0, 11) in rows and (11, 2, 10, 0, 11) in rows
-    # One text that repeats itself: the longest passage that fits twice without overlapping, and shorter ones.
-    assert max(n for n, _, i, _, _ in rows if i == 6) == 10_000
+    # One text that repeats itself: a group for each length, all told by one row for each place.
+    loop = R.repeats(odd.where("doc_id = 6"), 5).collect()
+    assert {r["n_words"] for r in loop if r["n_words"]} == set(range(5, 20_000)) and len(loop) == 20_000 - 4
+    assert all(r["last_rank"] - r["first_rank"] == 20_000 - r["n_words"] for r in loop if r["n_words"])
     assert R.repeats(empty, 5).count() == 0 and R.repeats(odd.where("doc_id = 1"), 5).count() == 0
