@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": mixing.query,
 }
 SQL: dict[str, str] = {
+    "op3_license_spans": licenses.SQL,
     "op6_exact_top_k": topk.SQL,
     "op8_decontaminate": decontaminate.SQL,
 }
