@@ -24,6 +24,28 @@ def test_large_budgets_are_met_to_the_token():
     assert M.fit(counts, whole + 5) == dict(sorted(counts.items())) and M.fit({}, 10) == {} and M.fit({50: 3}, 49) == {}
 
 
+def test_budgets_that_only_some_subsets_meet():
+    # Sums that the share taken of every length can only be brought to by giving documents back.
+    total = lambda taken: sum(n * k for n, k in taken.items())
+    assert total(M.fit({7: 10, 50000: 1, 49999: 1}, 99999)) == 99999
+    assert total(M.fit({60000: 1, 45000: 1, 10: 1000}, 105000)) == 105000
+    assert total(M.fit({1000: 70, 2500: 40, 3500: 1}, 101_499)) == 101_000
+    rng = random.Random(2)
+    for trial in range(40):
+        counts = {rng.randint(1, 400) * rng.choice([1, 1, 30]): rng.randint(1, 3) for _ in range(rng.randint(1, 6))}
+        budget = rng.randint(0, sum(n * c for n, c in counts.items()))
+        taken = M.fit(counts, budget, window=rng.choice([4, 64, 1024]))
+        assert total(taken) == best_subset(counts, counts.values(), budget) and all(0 < k <= counts[n] for n, k in taken.items()), (trial, counts, budget)
+
+
+def test_popular_lengths_are_drawn_without_ranking_them_whole(spark):
+    rows = [(k, "w " * (50 if k % 3 else 40), "hot") for k in range(900)] + [(k, "w " * 50, "cold") for k in range(1000, 1020)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = sorted(M.chosen(df, {"hot": 1, "cold": 1}, 3330).collect())
+    assert want == sorted(M.chosen(df, {"hot": 1, "cold": 1}, 3330, ranked=7).collect()) == sorted(M.chosen(df, {"hot": 1, "cold": 1}, 3330, ranked=1).collect())
+    assert sum(r["n_tokens"] for r in want if r["source"] == "hot") == 1660
+
+
 def test_budgets():
     assert M.budgets({"a": 100, "b": 100}, {"a": 3, "b": 1}) == {"a": 100, "b": 33}
     assert M.budgets({"a": 100, "b": 100}, {"a": 3, "b": 1}, 80) == {"a": 60, "b": 20}
