@@ -1,12 +1,16 @@
 """Document quality by a linear-chain conditional random field over lines.
 
 Each line gets the label good or bad from its own features, those of its neighbours and the labels next to it.  The field is
-fitted on a bounded sample of labelled documents, whose lines take their document's label; the marginals of every line,
+fitted on a bounded sample of documents that are labelled as wholes.  All lines of a good document are good; of a bad one it
+is only known that not all are, so that its lines' labels stay hidden and their likelihood is that of any labels but all good.
+Runs of lines of bad documents that are spliced into good ones show where labels change.  The marginals of every line,
 weighted by its length, make the document's quality.
 """
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +19,20 @@ from pyspark.sql import functions as F
 from .runtime import table
 from .wordgrams import slices, string_bytes, words_of
 
-#: Labelled documents that the field is fitted on, by hash order, and the lines of each that are used.
+#: Labelled documents that the field is fitted on, by hash order; those of more characters or lines are passed over.
 TRAIN_DOCS = 2000
-TRAIN_LINES = 200
+TRAIN_CHARS = 1 << 16
+TRAIN_LINES = 1000
+#: Splices for each bad document, and their lines at most.
+SPLICES = 2
+SPLICE_LINES = 3
 ROUNDS = 200
+#: First rounds, in which the lines of bad documents count as bad.
+WARM_ROUNDS = 60
 STEP = 0.3
 PENALTY = 2e-4
 #: Documents of at least this quality are good.
-MIN_QUALITY = 0.5
+MIN_QUALITY = 0.7
 
 _UPPER, _DIGIT, _SPACE, _MARK, _NOISE, _LETTER = (np.zeros(256, bool) for _ in range(6))
 _UPPER[range(65, 91)] = True
@@ -105,15 +115,15 @@ def _sequences(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.cumsum(count) - count)[order], count[order]
 
 
-def marginals(energy: np.ndarray, moves: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def marginals(energy: np.ndarray, moves: np.ndarray, count: np.ndarray, with_moves: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
     """Forward-backward over all texts at once.
 
-    ``energy`` (lines x 2) and ``moves`` (2 x 2) are log potentials.  Gives each line's marginals, the expected number of each move
-    and the log partition functions' sum.
+    ``energy`` (lines x 2) and ``moves`` (2 x 2) are log potentials.  Gives each line's marginals, the probability of each move
+    to it (lines x 2 x 2; none to a first line) unless ``with_moves`` is false, and each text's log partition function.
     """
     first, size = _sequences(count)
     total = len(energy)
-    forward, backward, scale = np.zeros((total, 2)), np.ones((total, 2)), np.zeros(total)
+    forward, backward, scale = np.zeros((total, 2)), np.ones((total, 2)), np.ones(total)
     top = energy.max(axis=1, keepdims=True) if total else energy
     own, step = np.exp(energy - top), np.exp(moves - moves.max())
     alive = len(first)
@@ -126,27 +136,46 @@ def marginals(energy: np.ndarray, moves: np.ndarray, count: np.ndarray) -> tuple
         now = own[at] if t == 0 else own[at] * (forward[at - 1] @ step)
         scale[at] = now.sum(axis=1)
         forward[at] = now / scale[at][:, None]
-    pairs = np.zeros((2, 2))
+    pairs = np.zeros((total, 2, 2)) if with_moves else None
     for t in range(len(ends) - 1, 0, -1):
         at = first[: ends[t]] + t
         inner = own[at] * backward[at] / scale[at][:, None]
-        pairs += (forward[at - 1].T @ inner) * step
+        if pairs is not None:
+            pairs[at] = forward[at - 1][:, :, None] * step * inner[:, None, :]
         backward[at - 1] = inner @ step.T
-    log = float(np.log(scale).sum() + top.sum() + moves.max() * (count[count > 0] - 1).sum()) if total else 0.0
+    owner = np.repeat(np.arange(len(count)), count)
+    log = np.bincount(owner, np.log(scale) + top[:, 0] if total else scale, minlength=len(count)) + moves.max() * np.maximum(count - 1, 0)
     return forward * backward, pairs, log
 
 
-def fit(features: np.ndarray, count: np.ndarray, good: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features) and moves (2 x 2) of greatest penalised likelihood, by Adam; ``good`` is one label a text."""
+def fit(features: np.ndarray, count: np.ndarray, label: np.ndarray, hidden: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features) and moves (2 x 2) of greatest penalised likelihood, by Adam.
+
+    ``label`` has a label for each line.  Those of texts that are ``hidden`` hold for the first rounds only; then all is known of such a
+    text is that not all its lines are good.
+    """
     weights, moves = np.zeros(features.shape[1]), np.zeros((2, 2))
-    label = np.repeat(good.astype(int), count)
-    stays = np.diag([np.maximum(count[good == c] - 1, 0).sum() for c in (False, True)]).astype(float)
+    label, owner = label.astype(int), np.repeat(np.arange(len(count)), count)
+    later = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+    given = np.zeros((len(label), 2, 2))
+    given[later, label[later - 1], label[later]] = 1
+    good = np.zeros((len(label), 2, 2))
+    good[later, 1, 1] = 1
+    unknown = hidden[owner] if len(owner) else np.zeros(0, bool)
     memory = [np.zeros((2, len(weights))), np.zeros((2, 2, 2))]
     n = max(1, len(label))
     for k in range(1, rounds + 1):
         score = features @ weights
-        p, pairs, _ = marginals(np.stack([np.zeros(len(score)), score], axis=1), moves, count)
-        slopes = (features.T @ (label - p[:, 1]) / n - penalty * weights, (stays - pairs) / n - penalty * moves)
+        p, pairs, log = marginals(np.stack([np.zeros(len(score)), score], axis=1), moves, count)
+        want, wanted = label.astype(float), given
+        if k > WARM_ROUNDS:
+            # What is expected of a text's lines if not all are good.
+            whole = np.bincount(owner, score, minlength=len(count)) + np.maximum(count - 1, 0) * moves[1, 1] - log
+            share = np.minimum(np.exp(np.minimum(whole, 0)), 1 - 1e-9)[owner]
+            want = np.where(unknown, (p[:, 1] - share) / (1 - share), want)
+            share = share[:, None, None]
+            wanted = np.where(unknown[:, None, None], (pairs - share * good) / (1 - share), given)
+        slopes = (features.T @ (want - p[:, 1]) / n - penalty * weights, (wanted - pairs).sum(axis=0) / n - penalty * moves)
         for x, slope, m in zip((weights, moves), slopes, memory, strict=True):
             m[0] = 0.9 * m[0] + 0.1 * slope
             m[1] = 0.99 * m[1] + 0.01 * slope**2
@@ -154,10 +183,37 @@ def fit(features: np.ndarray, count: np.ndarray, good: np.ndarray, rounds: int =
     return weights, moves
 
 
+def _lines(text: str) -> list[str]:
+    lines = text.split("\n")
+    return lines if lines[-1] else lines[:-1]
+
+
+def training_texts(texts: list[str], good: list[bool], seed: int = 3) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The texts, and runs of lines of the bad ones spliced into good ones; a label for each line; whether a text's labels are hidden."""
+    draw = random.Random(seed)
+    split = [_lines(t) for t in texts]
+    fine, poor = [x for x, y in zip(split, good, strict=True) if y and x], [x for x, y in zip(split, good, strict=True) if not y and x]
+    sequences = [(x, [int(y)] * len(x), not y) for x, y in zip(split, good, strict=True) if x]
+    for x in poor if fine else []:
+        for _ in range(SPLICES):
+            home, n, a = draw.choice(fine), draw.randint(1, SPLICE_LINES), draw.randrange(len(x))
+            run, at = x[a : a + n], draw.randint(0, len(home))
+            sequences.append((home[:at] + run + home[at:], [1] * at + [0] * len(run) + [1] * (len(home) - at), False))
+    label = np.array([y for _, ys, _ in sequences for y in ys], np.int64)
+    return ["\n".join(x) + "\n" for x, _, _ in sequences], label, np.array([h for _, _, h in sequences], bool)
+
+
+def trained(texts: list[str], good: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """The field for texts that are labelled as wholes."""
+    spliced, label, hidden = training_texts(texts, good)
+    features, _, count = line_features(pa.array(spliced, pa.string()))
+    return fit(features, count, label, hidden)
+
+
 def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray]:
     """The field for ``labels`` (``doc_id, quality``); documents with several labels count by the least.
 
-    At most ``train_docs`` documents reach the driver, and :data:`TRAIN_LINES` lines of each.
+    At most ``train_docs`` documents reach the driver, none of more than :data:`TRAIN_CHARS` characters or :data:`TRAIN_LINES` lines.
     """
     known = (
         labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("quality").cast("int").alias("good"))
@@ -167,23 +223,26 @@ def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) ->
         .orderBy(F.xxhash64("id", F.lit(5)), "id")
         .limit(train_docs)
     )
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     rows = (
-        docs.select(F.col("doc_id").cast("bigint").alias("id"), F.substring_index("text", "\n", TRAIN_LINES).alias("text"))
-        .where("text is not null")
+        docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
+        .where((F.length("text") <= TRAIN_CHARS) & (breaks < TRAIN_LINES))
         .join(F.broadcast(known), "id")
+        .distinct()
         .select("id", "good", "text")
+        .orderBy(F.xxhash64("id", F.lit(5)), "id", "text")
+        .limit(train_docs)
         .collect()
     )
-    rows = sorted(rows, key=lambda r: (r.id, r.text))
-    features, _, count = line_features(pa.array([r.text for r in rows], pa.string()))
-    return fit(features, count, np.array([r.good for r in rows], bool))
+    return trained([r.text for r in rows], [r.good == 1 for r in rows])
 
 
 def scored(docs: DataFrame, field: tuple[np.ndarray, np.ndarray], min_quality: float = MIN_QUALITY) -> DataFrame:
     """Columns ``doc_id, quality, n_lines, good`` for every row of ``docs`` (``doc_id, text``); other columns are ignored.
 
     ``quality`` is the mean of the lines' probabilities of being good, weighted by their bytes.  It is null, and ``good`` false, for
-    null and empty texts and those of empty lines only.  Repeated rows each get a row, null ids too.
+    null and empty texts and those of empty lines only; one that ties with ``min_quality`` is good.  Repeated rows each get a row, null ids
+    too.  Very long texts are read whole, in time linear in their lines.
     """
     weights, moves = field
 
@@ -192,7 +251,7 @@ def scored(docs: DataFrame, field: tuple[np.ndarray, np.ndarray], min_quality: f
             for part in slices(batch, "text", 2 << 20):
                 features, length, count = line_features(part.column("text"))
                 score = features @ weights
-                p = marginals(np.stack([np.zeros(len(score)), score], axis=1), moves, count)[0]
+                p = marginals(np.stack([np.zeros(len(score)), score], axis=1), moves, count, False)[0]
                 doc = np.repeat(np.arange(len(count)), count)
                 weight = np.bincount(doc, weights=length, minlength=len(count))
                 mean = np.bincount(doc, weights=length * p[:, 1], minlength=len(count)) / np.maximum(weight, 1)

@@ -24,7 +24,7 @@ def test_marginals_equal_enumeration():
             for a, b in zip(y, y[1:]):
                 expected[a, b] += x / z
         at += n
-    assert np.allclose(got, want) and np.allclose(pairs, expected) and np.isclose(log, total)
+    assert np.allclose(got, want) and np.allclose(pairs.sum(axis=0), expected) and np.isclose(log.sum(), total)
 
 
 def test_lines_and_neighbours():
@@ -37,22 +37,69 @@ def test_lines_and_neighbours():
     assert g[:, at["as before"]].tolist() == [0, 1, 0] and g[:, at["as after"]].tolist() == [1, 0, 0]
 
 
-def test_held_out_accuracy():
+def labelled(folder="/root/testdata/sf0.01"):
     import pyarrow.parquet as pq
 
-    folder = "/root/testdata/sf0.01"
     docs, labels = (pq.read_table(f"{folder}/{t}.parquet").to_pandas() for t in ("documents", "labels"))
     both = docs.merge(labels, on="doc_id")
-    train, test = both.iloc[::2], both.iloc[1::2]
-    features, _, count = Q.line_features(pa.array(train.text))
-    weights, moves = Q.fit(features, count, train.quality.to_numpy() == 1)
-    features, length, count = Q.line_features(pa.array(test.text))
-    score = features @ weights
-    p = Q.marginals(np.stack([0 * score, score], axis=1), moves, count)[0]
-    owner = np.repeat(np.arange(len(count)), count)
-    mean = np.bincount(owner, weights=length * p[:, 1]) / np.bincount(owner, weights=length)
+    return both.iloc[::2], both.iloc[1::2]
+
+
+def line_marginals(texts, field):
+    features, length, count = Q.line_features(pa.array(texts))
+    score = features @ field[0]
+    return Q.marginals(np.stack([0 * score, score], axis=1), field[1], count, False)[0][:, 1], length, np.repeat(np.arange(len(count)), count)
+
+
+def test_held_out_accuracy_and_planted_lines():
+    train, test = labelled()
+    field = Q.trained(train.text.tolist(), (train.quality == 1).tolist())
+    p, length, owner = line_marginals(test.text.tolist(), field)
+    mean = np.bincount(owner, weights=length * p) / np.bincount(owner, weights=length)
     good = test.quality.to_numpy() == 1
-    assert ((mean >= 0.5) == good).mean() >= 0.95 and (mean[good] >= 0.5).mean() >= 0.98
+    assert ((mean >= Q.MIN_QUALITY) == good).mean() >= 0.98 and (mean[good] >= Q.MIN_QUALITY).mean() >= 0.99
+    # A bad line in a held-out good document is found, and the lines about it stay good.
+    bad = ["BUY NOW!! CHEAP!! CLICK HERE!! NOW!!", "the the the the the the the the the the the the", "In&&& of%%% the*** and$$$ ere### thand*** or%%% re&&&"]
+    texts, at = [], []
+    for k, t in enumerate(test.text[good]):
+        lines = Q._lines(t)
+        if len(lines) > 3:
+            place = 1 + k % (len(lines) - 1)
+            texts.append("\n".join([*lines[:place], bad[k % 3], *lines[place:]]))
+            at.append(place)
+    p, _, owner = line_marginals(texts, field)
+    first = np.searchsorted(owner, np.arange(len(texts)))
+    planted = np.zeros(len(p), bool)
+    planted[first + at] = True
+    assert len(texts) > 60 and (p[planted] < 0.5).mean() >= 0.95 and (p[~planted] >= 0.5).mean() >= 0.95
+
+
+def test_all_is_known_of_a_hidden_text_is_that_a_line_is_bad():
+    # One feature that tells good lines, and bad texts of which just one line lacks it; the last texts show where labels change.
+    texts = [[1, 1, 1]] * 6 + [[1, 0, 1], [0, 1, 1], [1, 1, 0]] * 2 + [[1, 0, 0, 1], [0, 1, 0]]
+    count = np.array([len(t) for t in texts])
+    features = np.array([[x, 1] for t in texts for x in t], float)
+    good, hidden = np.array([True] * 6 + [False] * 8), np.array([False] * 6 + [True] * 6 + [False] * 2)
+    label = np.where(np.repeat(np.arange(14) >= 12, count), features[:, 0], np.repeat(good, count))
+    weights, moves = Q.fit(features, count, label, hidden)
+    score = features @ weights
+    p = Q.marginals(np.stack([0 * score, score], axis=1), moves, count, False)[0][:, 1]
+    assert ((p >= 0.5) == (features[:, 0] == 1)).all()
+
+
+def test_quality_equals_enumeration(spark):
+    field = (np.random.default_rng(1).normal(size=len(Q.FEATURES)), np.array([[0.3, -0.5], [-0.4, 0.8]]))
+    texts = ["a b c\nTHE THE THE!!\n\nplain words of a line", "one line", "x\ny\nx\nx", "ÀÉ 12 34\n$$$"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["quality"] for r in Q.scored(rows, field).collect()}
+    for i, t in enumerate(texts):
+        features, length, _ = Q.line_features(pa.array([t]))
+        score, total, mean = features @ field[0], 0.0, 0.0
+        for y in itertools.product((0, 1), repeat=len(score)):
+            w = np.exp(score @ y + sum(field[1][a, b] for a, b in zip(y, y[1:])))
+            total += w
+            mean += w * (length @ y) / length.sum()
+        assert got[i] == round(mean / total, 6)
 
 
 def test_table_and_odd_rows(spark, sf, docs, odd, empty):
