@@ -44,7 +44,7 @@ def _packed(body: bytes) -> bytes:
 
 
 def anchors(texts: DataFrame, least: int) -> DataFrame:
-    """Columns ``id, version, pos, gram, before`` of the anchors of a frame with ``id, version, text``.
+    """Columns ``key, pos, gram, before`` of the anchors of a frame with ``key, text``.
 
     ``before`` hashes as many words before the anchor as a run can begin before it, and the one before those; it is null
     where the text begins within them.
@@ -61,16 +61,15 @@ def anchors(texts: DataFrame, least: int) -> DataFrame:
                 some = at - words.first[doc] >= back
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("id").take(pa.array(doc)),
-                        part.column("version").take(pa.array(doc)),
+                        part.column("key").take(pa.array(doc)),
                         pa.array((at - words.first[doc]).astype(np.int32)),
                         signed(grams[at]),
                         pa.array(before[np.where(some, at - back, 0)].view(np.int64) if len(at) else np.zeros(0, np.int64), mask=~some),
                     ],
-                    names=["id", "version", "pos", "gram", "before"],
+                    names=["key", "pos", "gram", "before"],
                 )
 
-    return texts.mapInArrow(emit, "id bigint, version bigint, pos int, gram bigint, before bigint")
+    return texts.mapInArrow(emit, "key bigint, pos int, gram bigint, before bigint")
 
 
 def suffix_order(text: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,8 +169,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     passages are one group; they are ranked by id and place.
     """
     spark = docs.sparkSession
-    # An id may have several texts; the hash tells them apart.
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("version"), "text").where("id is not null and text is not null")
+    # An id may have several texts; the key tells them apart.  Should two rows ever share one, each has the other's anchors as well,
+    # and so only more to sort.
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("doc_id", "text").alias("key"), "text").where("id is not null and text is not null")
     found = cut(anchors(texts, min_words))
     twice = (
         found.groupBy("gram")
@@ -180,9 +180,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .select("gram", (F.expr("known < n or low != high")).alias("edge"))
     )
     state = (
-        found.select("id", "version", "pos", "gram")
+        found.select("key", "pos", "gram")
         .join(twice, "gram")
-        .groupBy(F.col("id").alias("doc"), F.col("version").alias("of"))
+        .groupBy(F.col("key").alias("of"))
         .agg(F.collect_set(F.struct("pos", "edge")).alias("anchors"))
         .where(F.exists("anchors", lambda a: a["edge"]))
     )
@@ -193,9 +193,11 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for part in slices(batch, "text"):
                 words, grams, start, anchor = _windows(part, min_words)
                 marks = part.column("anchors")
-                base = np.repeat(words.first[:-1], np.diff(np.asarray(marks.offsets)))
-                pos = marks.flatten().field("pos").to_numpy() + base
+                many = np.diff(np.asarray(marks.offsets))
+                pos = marks.flatten().field("pos").to_numpy() + np.repeat(words.first[:-1], many)
                 edge = marks.flatten().field("edge").to_numpy(zero_copy_only=False)
+                own = pos < np.repeat(words.first[1:], many)
+                pos, edge = pos[own], edge[own]
                 repeated = np.zeros(len(words.code), bool)
                 repeated[pos] = True
                 begins = np.zeros(len(words.code), bool)
@@ -218,24 +220,24 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     [
                         pa.array(target[rows]),
                         part.column("id").take(pa.array(doc)),
-                        part.column("version").take(pa.array(doc)),
+                        part.column("key").take(pa.array(doc)),
                         pa.array((first - words.first[doc]).astype(np.int32)),
                         pa.array(led),
                         pa.array([len(b) for b in bodies], pa.int32()),
                         pa.array([_packed(b) for b in bodies], pa.binary()),
                         pa.array(places, pa.binary()),
                     ],
-                    names=["bucket", "id", "version", "start", "led", "size", "body", "places"],
+                    names=["bucket", "id", "key", "start", "led", "size", "body", "places"],
                 )
 
-    # Where the ids of texts with edges are few, the others needn't be shuffled.
-    ids = state.select(F.col("doc").alias("id"))
-    near = small(ids, 48)
-    some = texts if near is ids else texts.join(near, "id", "left_semi")
+    # Where the keys of texts with edges are few, the others needn't be shuffled.
+    keys = state.select(F.col("of").alias("key"))
+    near = small(keys, 48)
+    some = texts if near is keys else texts.join(near, "key", "left_semi")
     passages = (
-        some.join(state, (F.col("id") == F.col("doc")) & (F.col("version") == F.col("of")))
-        .select("id", "version", "text", "anchors")
-        .mapInArrow(spread, "bucket bigint, id bigint, version bigint, start int, led boolean, size int, body binary, places binary")
+        some.join(state, F.col("key") == F.col("of"))
+        .select("id", "key", "text", "anchors")
+        .mapInArrow(spread, "bucket bigint, id bigint, key bigint, start int, led boolean, size int, body binary, places binary")
     )
     return passages.groupBy("bucket").applyInArrow(lambda t: scan(t, min_words), REPEATS)
 
@@ -246,8 +248,8 @@ def scan(passages: pa.Table, least: int) -> pa.Table:
     Equal passages are sorted once; their occurrences come back at the end.
     """
     copies: dict[tuple, set[tuple[int, int, int]]] = {}
-    for i, start, version, *kind in zip(*(passages.column(c).to_pylist() for c in ("id", "start", "version", "led", "size", "body", "places")), strict=True):
-        copies.setdefault(tuple(kind), set()).add((i, start, version))
+    for i, start, key, *kind in zip(*(passages.column(c).to_pylist() for c in ("id", "start", "key", "led", "size", "body", "places")), strict=True):
+        copies.setdefault(tuple(kind), set()).add((i, start, key))
     kinds = sorted(copies)
     homes = [np.array(sorted(copies[x]), np.int64) for x in kinds]
     led = np.array([x[0] for x in kinds], np.int64)
