@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import cut, small, table
+from .runtime import cut, matched, small, table, without
 from .wordgrams import WORD_PATTERN, gram_codes, signed, slices, winnow, words_of
 
 #: A shared run of that many words is contamination; 13 is the usual choice of published decontamination reports.
@@ -78,12 +78,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WOR
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("bigint").alias("id"), "text").where("id is not null and text is not null").distinct()
     wanted = cut(fingerprints(items, k, w).select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "gram"))
-    found = fingerprints(texts, k, w).join(small(wanted, 40), "gram")
+    found = fingerprints(texts, k, w).join(small(wanted), "gram")
     seeds = cut(
         found.groupBy("id", "item_id").agg(F.collect_set(F.struct(F.col("pos").alias("a"), F.col("item_pos").alias("b"))).alias("seeds"))
     )
     pairs = (
-        texts.join(small(seeds.withColumnRenamed("id", "doc"), 400), F.col("id") == F.col("doc"))
+        matched(texts, seeds.withColumnRenamed("id", "doc"), "id", "doc")
         .select("doc", "text", "item_id", "seeds")
         .join(items.select(F.col("id").alias("item_id"), F.col("text").alias("item_text")), "item_id")
         .select("doc", "text", "item_id", "item_text", "seeds")
@@ -113,7 +113,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WOR
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without those that share a run of ``min_words`` words with a benchmark item; the others stay as they are."""
     hits = cut(contaminated(docs, benchmark, min_words).select("doc_id").distinct())
-    return docs.join(small(hits, 48), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, hits, "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,7 +254,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
                     names=["page_id", "host", "path", "text"],
                 )
 
-    return with_host(pages).join(small(winners, 200), "host", "left").select("page_id", "host", "html", "path").mapInArrow(emit, "page_id bigint, host string, path string, text string")
+    return with_host(pages).join(small(winners), "host", "left").select("page_id", "host", "html", "path").mapInArrow(emit, "page_id bigint, host string, path string, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

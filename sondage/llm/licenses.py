@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .license_templates import TEMPLATES
-from .runtime import cut, small, table
+from .runtime import among, cut, fits, small, table
 from .wordgrams import WORD_PATTERN, gram_codes, signed, slices, words_of
 
 GRAM_WORDS = 3
@@ -56,7 +56,7 @@ def diagonals(docs: DataFrame, places: DataFrame) -> DataFrame:
     """
     of = ["id", "version", "template", "words", "license", (F.col("pos") - F.col("q")).alias("diagonal")]
     return (
-        docs.join(small(places, 200), "gram")
+        docs.join(small(places), "gram")
         .groupBy(*of)
         .agg(F.array_sort(F.collect_set("q")).alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last"))
         .withColumn("votes", F.size("places"))
@@ -133,7 +133,9 @@ def licenses(docs: DataFrame, templates: DataFrame | None = None, k: int = GRAM_
         .groupBy(F.col("id").alias("doc"), F.col("version").alias("of"))
         .agg(F.collect_list(F.struct("license", "form", "start", "end", "diagonals")).alias("spans"))
     )
-    pairs = texts.join(small(wanted, 2000), (F.col("id") == F.col("doc")) & (F.col("version") == F.col("of"))).select("id", "text", "spans")
+    # Beyond what may be broadcast, few texts without a span are shuffled.
+    near = texts if fits(wanted) else texts.where(among(wanted.select("doc"))(F.col("id")))
+    pairs = near.join(small(wanted), (F.col("id") == F.col("doc")) & (F.col("version") == F.col("of"))).select("id", "text", "spans")
 
     def verify(batches):
         known: dict[str, list[str]] = {}

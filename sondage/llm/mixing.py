@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import cut, small, table
+from .runtime import cut, only, small, table, without
 
 SEED = 17
 #: Tokens by which sums in the dynamic programme first stray from the share taken of every length; more only where none meets the budget.
@@ -172,10 +172,14 @@ def chosen(docs: DataFrame, weights: dict[str, float] | None = None, total: int
     documents are taken by the hash of id and seed, ties of it by id.  Each source's tokens are at most its budget, and equal it where
     any subset of its documents does.  A very long text is a document like others, taken whole or not at all.
     """
-    spark = docs.sparkSession
+    return _chosen(cut(token_lengths(docs)), weights, total, seed, ranked)
+
+
+def _chosen(every: DataFrame, weights: dict[str, float] | None, total: int | None, seed: int, ranked: int) -> DataFrame:
+    """:func:`chosen` from a written table of :func:`token_lengths`."""
     if weights is not None:
         weights = {_NO_SOURCE if s is None else s: w for s, w in weights.items()}
-    measured = cut(token_lengths(docs).where("n_tokens > 0"))
+    measured = every.where("n_tokens > 0")
     counts = cut(measured.groupBy("source", "n_tokens").agg(F.count("*").alias("held")))
     # A row a source; a source's distinct lengths, at most as many as its longest document has tokens, go to one task each.
     tokens = {r["source"]: int(r["tokens"]) for r in counts.groupBy("source").agg(F.sum(F.col("n_tokens").cast("decimal(38,0)") * F.col("held")).alias("tokens")).collect()}
@@ -198,12 +202,12 @@ def chosen(docs: DataFrame, weights: dict[str, float] | None = None, total: int
     quotas = cut(counts.groupBy("source").applyInArrow(fitted, "source string, n_tokens bigint, quota bigint, bins bigint"))
     # The hash, from 0 to 1, orders a length's documents; whole bins of it are in or out, but for the one in which the quota ends.
     place = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 1)
-    drawn = measured.join(small(quotas, 100), ["source", "n_tokens"]).withColumn("place", place)
+    drawn = measured.join(small(quotas), ["source", "n_tokens"]).withColumn("place", place)
     drawn = drawn.withColumn("bin", F.floor(F.col("place") / F.lit(2.0**63) * F.col("bins")).cast("bigint"))
     keys = ["source", "n_tokens", "bin"]
     filled = drawn.where("bins > 1").groupBy(*keys).agg(F.count("*").alias("inside"))
     before = filled.withColumn("before", F.sum("inside").over(Window.partitionBy("source", "n_tokens").orderBy("bin")) - F.col("inside"))
-    many = drawn.where("bins > 1").join(small(cut(before), 120), keys).withColumn("rest", F.col("quota") - F.col("before")).where("rest > 0")
+    many = drawn.where("bins > 1").join(small(cut(before)), keys).withColumn("rest", F.col("quota") - F.col("before")).where("rest > 0")
     edge = many.where("rest < inside").select("id", "source", "n_tokens", "place", "bin", "rest").union(drawn.where("bins = 1").select("id", "source", "n_tokens", "place", "bin", F.col("quota").alias("rest")))
     last = edge.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("place", "id"))).where("rank <= rest")
     out = many.where("rest >= inside").select("id", "source", "n_tokens").union(last.select("id", "source", "n_tokens"))
@@ -212,8 +216,13 @@ def chosen(docs: DataFrame, weights: dict[str, float] | None = None, total: int
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` that make the mix, with their columns."""
-    ids = cut(chosen(docs, weights, total, seed).select("doc_id"))
-    return docs.join(small(ids, 48), "doc_id", "left_semi").select(docs.columns)
+    every = cut(token_lengths(docs))
+    ids = cut(_chosen(every, weights, total, seed, RANKED).select("doc_id"))
+    # Whichever are fewer are looked up, those that stay or those that go.
+    if 2 * ids.count() <= every.count():
+        return only(docs, ids, "doc_id")
+    rest = cut(every.select(F.col("id").alias("doc_id")).join(ids, "doc_id", "left_anti"))
+    return without(docs.where(F.col("doc_id").isNotNull()), rest, "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

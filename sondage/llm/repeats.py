@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import cut, small, table
+from .runtime import among, cut, table
 from .wordgrams import RunCodes, Words, finalise, gram_codes, signed, slices, window_minima, words_of
 
 MIN_WORDS = 50
@@ -230,10 +230,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     names=["bucket", "id", "key", "start", "led", "size", "body", "places"],
                 )
 
-    # Where the keys of texts with edges are few, the others needn't be shuffled.
-    keys = state.select(F.col("of").alias("key"))
-    near = small(keys, 48)
-    some = texts if near is keys else texts.join(near, "key", "left_semi")
+    # Few texts without edges are shuffled.
+    state = cut(state)
+    some = texts.where(among(state.select("of"))(F.col("key")))
     passages = (
         some.join(state, F.col("key") == F.col("of"))
         .select("id", "key", "text", "anchors")
