@@ -7,6 +7,7 @@ keeps its content, and each of its pages is then read again at that path.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from dataclasses import dataclass, field
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 from .runtime import cut, small, table
 from .wordgrams import slices
 
-#: Steps of a generalised path, counted from the container up.
+#: A generalised path is the last so many containers, each by its tag and all its classes without digits.
 PATH_STEPS = 6
-#: A page's votes add up to this.
-VOTES = 1000
+#: Classes of more characters together are told by their hash.
+STEP_CHARS = 160
+#: A page's votes add up to this, or a little less, as each path's are rounded down.
+VOTES = 10**9
 
 CONTAINERS = frozenset("html body main article section div td th li ul ol dl dd table tr tbody nav header footer aside form blockquote figure center".split())
 BREAKS = CONTAINERS | frozenset("p br h1 h2 h3 h4 h5 h6 pre hr dt caption option title".split())
@@ -35,22 +38,27 @@ _ATTRIBUTE = re.compile(r"""class\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNOR
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
+    """An open tag; ``up`` is the nearest container around it, ``home`` that or, of a container, itself."""
+
     step: str
-    parent: "Node | None"
+    up: "Node | None"
     container: bool
     hidden: bool
     link: bool
     score: int = 0
     parts: list = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        self.home = self if self.container else self.up
+        self.boilerplate = self.container and _BOILERPLATE.search(self.step) is not None
+
     def path(self) -> str:
         steps, node = [], self
         while node is not None and len(steps) < PATH_STEPS:
-            if node.container:
-                steps.append(node.step)
-            node = node.parent
+            steps.append(node.step)
+            node = node.up
         return ">".join(reversed(steps))
 
 
@@ -59,7 +67,9 @@ def _step(tag: str, rest: str) -> str:
     if not found:
         return tag
     names = sorted({x for x in (re.sub(r"[\d]+", "", w).strip("-_") for w in found[1].strip("\"'").lower().split()) if x})
-    return ".".join([tag, *names[:3]])
+    step = ".".join([tag, *names])
+    # Paths hold the steps around them, so that a long one must not be spelled out in each.
+    return step if len(step) <= STEP_CHARS else f"{tag}.{names[0][:16]}~{hashlib.blake2b(step.encode(), digest_size=8).hexdigest()}"
 
 
 def parse(page: str) -> list[Node]:
@@ -77,26 +87,19 @@ def parse(page: str) -> list[Node]:
         if node.hidden or not raw:
             return
         raw = html.unescape(raw)
-        home = node
-        while not home.container:
-            home = home.parent
-        home.parts.append(raw)
+        node.home.parts.append(raw)
         size = len(raw.strip())
         if not size:
             return
         if node.link:
             size = -size
-        share = home
+        share = node.home
         for part in (1, 2, 4):
-            while share is not None and not share.container:
-                share = share.parent
-            if share is None:
-                break
             share.score += size // part
             # What boilerplate holds says nothing for what is around it.
-            if _BOILERPLATE.search(share.step):
+            if share.up is None or share.boilerplate:
                 break
-            share = share.parent
+            share = share.up
 
     def close(tag: str) -> None:
         if not names.get(tag):
@@ -107,10 +110,7 @@ def parse(page: str) -> list[Node]:
             if name == tag:
                 break
         if tag in BREAKS:
-            home = stack[-1][1]
-            while not home.container:
-                home = home.parent
-            home.parts.append(None)
+            stack[-1][1].home.parts.append(None)
 
     while at < n:
         lt = page.find("<", at)
@@ -145,10 +145,7 @@ def parse(page: str) -> list[Node]:
             close(tag)
         top = stack[-1][1]
         if tag in BREAKS and not top.hidden:
-            home = top
-            while not home.container:
-                home = home.parent
-            home.parts.append(None)
+            top.home.parts.append(None)
         if tag in VOID or rest.endswith("/") and tag not in CONTAINERS:
             continue
         if tag in RAW:
@@ -158,27 +155,24 @@ def parse(page: str) -> list[Node]:
             gt = page.find(">", stop.end())
             at = n if gt < 0 else gt + 1
             continue
-        inner = Node(_step(tag, rest) if tag in CONTAINERS else tag, top, tag in CONTAINERS, top.hidden or tag in HIDDEN, top.link or tag == "a")
+        inner = Node(_step(tag, rest) if tag in CONTAINERS else tag, top.home, tag in CONTAINERS, top.hidden or tag in HIDDEN, top.link or tag == "a")
         if inner.container and not inner.hidden:
-            home = top
-            while not home.container:
-                home = home.parent
-            home.parts.append(inner)
+            top.home.parts.append(inner)
             nodes.append(inner)
         stack.append((tag, inner))
         names[tag] = names.get(tag, 0) + 1
     return nodes
 
 
-def votes(page: str) -> dict[str, int]:
+def votes(page: str | list[Node]) -> dict[str, int]:
     """Votes of a page's generalised paths, in proportion to the positive scores of their containers."""
     score: dict[str, int] = {}
-    for node in parse(page):
+    for node in parse(page) if isinstance(page, str) else page:
         if node.score > 0:
             path = node.path()
-            score[path] = score.get(path, 0) + (node.score // 5 if _BOILERPLATE.search(path.rpartition(">")[2]) else node.score)
+            score[path] = score.get(path, 0) + (node.score // 5 if node.boilerplate else node.score)
     whole = sum(score.values())
-    return {p: VOTES * s // whole for p, s in score.items() if VOTES * s >= whole} if whole else {}
+    return {p: VOTES * s // whole for p, s in score.items() if s}
 
 
 def _text(nodes: list[Node]) -> str:
@@ -203,17 +197,16 @@ def extract(page: str, path: str | None) -> tuple[str, str]:
     nodes = parse(page)
     there = [x for x in nodes if path is not None and x.path() == path]
     if not there:
-        own = votes(page)
+        own = votes(nodes)
         path = min(own, key=lambda p: (-own[p], p)) if own else "page"
         there = [x for x in nodes if x.path() == path] or nodes[:1]
-    chosen, inside = [], set()
-    for node in there:
-        up = node.parent
-        while up is not None and id(up) not in inside:
-            up = up.parent
-        if up is None:
+    # Containers come after those around them, so that one look upwards tells whether one is inside another that is there.
+    at, inside, chosen = set(there), set(), []
+    for node in nodes:
+        if node.up in inside or node.up in at:
+            inside.add(node)
+        elif node in at:
             chosen.append(node)
-            inside.add(id(node))
     return _text(chosen), path
 
 
@@ -242,6 +235,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     Pages without the host's path fall back on their own best container.  A null ``html`` gives null ``path`` and ``text``; an
     empty one an empty text.  A url that is null or has no host belongs to host "".  Repeated rows each vote and each get a row.
+    Ties between paths go to the one that sorts first.  Very long pages are read whole, in time linear in their length.
     """
     winners = cut(host_paths(pages).select("host", "path"))
 
