@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import table
+from .runtime import cut, small, table
 from .wordgrams import slices, string_bytes
 
 #: Normalised bytes of the labelled sample for each language, and the documents that it is taken from.
@@ -145,7 +145,7 @@ def labelled_samples(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs
     )
     order = Window.partitionBy("language").orderBy(F.desc("long"), F.xxhash64("id", F.lit(11)), "id")
     chosen = labelled.select("id", "language", "long").withColumn("n", F.row_number().over(order)).where(F.col("n") <= train_docs)
-    rows = labelled.join(F.broadcast(chosen), ["id", "language", "long"]).select("language", "n", "long", F.substring("text", 1, train_bytes).alias("text")).collect()
+    rows = labelled.join(small(cut(chosen)), ["id", "language", "long"]).select("language", "n", "long", F.substring("text", 1, train_bytes).alias("text")).collect()
     out: dict[str, bytes] = {}
     for language in sorted({r.language for r in rows}):
         own = sorted((r for r in rows if r.language == language), key=lambda r: (r.n, r.text))
@@ -161,7 +161,7 @@ def identified(docs: DataFrame, samples: dict[str, bytes], max_entropy: float =
     ``entropy`` is that of the best language in bits a normalised byte; ties go to the name that sorts first;
     ``runner_up`` is the second language.  Null texts, texts without letters and those beyond ``max_entropy`` are ``und``
     (the first two with null entropy), as is everything if there are no samples.  Repeated rows each get a row, null ids
-    too.  Other columns are ignored.
+    too.  Very long texts are parsed whole, in segments side by side.  Other columns are ignored.
     """
     kept: dict[int, Parser] = {}
     names = np.array([*sorted(samples), UNDETERMINED], dtype=object)
