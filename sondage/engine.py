@@ -26,8 +26,9 @@ from .streaming.watch import IndexWatcher, WatchConfig
 
 log = logging.getLogger(__name__)
 
-RESULT_CAP = 10_000_000
 CACHE_SIZE = 128
+#: Languages that figures of an index name; of the others only the number is given.
+TOP_LANGUAGES = 15
 STALE_SECONDS = 3600
 _COLUMNS = [c.split()[0] for c in model.DOCS.split(", ")]
 
@@ -142,10 +143,9 @@ class Engine:
         return found.limit(limit) if limit else found
 
     def grep(self, pattern: str, limit: int = 0, before: int = 0, after: int = 0, ignore_case: bool = False) -> DataFrame:
-        """Matching lines in order of path and line; at most :data:`RESULT_CAP`."""
+        """Matching lines in order of path and line; all of them unless ``limit`` is given."""
         parsed = parse_query(pattern, ignore_case)
-        most = min(limit or RESULT_CAP, RESULT_CAP)
-        return self._cached(("grep", pattern, before, after, ignore_case, most), lambda: S.grep(self._narrowed(parsed), parsed, before, after, most))
+        return self._cached(("grep", pattern, before, after, ignore_case, limit), lambda: S.grep(self._narrowed(parsed), parsed, before, after, limit))
 
     def files(self, pattern: str, limit: int = 0, ignore_case: bool = False) -> DataFrame:
         parsed = parse_query(pattern, ignore_case)
@@ -173,7 +173,9 @@ class Engine:
     def stats(self) -> dict:
         """Corpus figures, the largest languages and the size of the index."""
         out = I.corpus_stats(self._docs).first().asDict()
-        out["languages"] = {r["language"]: r["n_files"] for r in I.language_counts(self._docs).collect()}
+        counted = I.language_counts(self._docs)
+        out["languages"] = {r["language"]: r["n_files"] for r in counted.limit(TOP_LANGUAGES).collect()}
+        out["more_languages"] = max(0, counted.count() - TOP_LANGUAGES)
         if self.store is not None:
             folder = self.store.folder / f"v{self.version}"
             out["index_bytes"] = sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())

@@ -53,11 +53,25 @@ def identifiers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]+"), F.lit(0)))
 
 
+def _line_starts(texts: pa.Array) -> pa.Array:
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = (np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8))[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    start = np.union1d(ends[:-1], np.flatnonzero(data == 10) + 1)
+    # No line begins where a text ends; the next text may begin there.
+    some = ends[:-1][ends[1:] > ends[:-1]]
+    start = start[~np.isin(start, ends[1:]) | np.isin(start, some)]
+    doc = np.searchsorted(ends, start, side="right") - 1
+    count = np.bincount(doc, minlength=len(texts))
+    offsets = np.r_[0, np.cumsum(count)].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(start - ends[doc]), mask=pc.is_null(texts) if texts.null_count else None)
+
+
 def line_starts(text: Column) -> Column:
-    """Byte offset of each line's first byte."""
-    raw = F.transform(F.split(text, "\n", -1), lambda x: F.octet_length(x).cast("bigint") + 1)
-    before = F.transform(raw, lambda _, i: F.aggregate(F.slice(raw, F.lit(1), i), F.lit(0).cast("bigint"), lambda a, b: a + b))
-    return before
+    """Byte offset of each line's first byte, for the lines that :func:`lines` gives; null for a null text."""
+    return F.arrow_udf(_line_starts, "array<bigint>")(text)
 
 
 def line_of_offset(starts: Column, offset: Column) -> Column:

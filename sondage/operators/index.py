@@ -47,9 +47,11 @@ def posting_lists(postings: DataFrame, term: str) -> DataFrame:
 
 
 def holding_all(postings: DataFrame, terms: list, term: str = "gram") -> DataFrame:
-    """Ids of documents that hold every one of ``terms``."""
+    """Ids of documents that hold every one of ``terms``; ``postings`` hold no pair twice."""
     wanted = sorted(set(terms))
-    found = postings.where(F.col(term).isin(*wanted)).select(term, "doc_id").distinct()
+    found = postings.where(F.col(term).isin(*wanted)).select(term, "doc_id")
+    if len(wanted) == 1:
+        return found.select("doc_id")
     return found.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("doc_id")
 
 
@@ -118,9 +120,9 @@ def might_contain(blooms: DataFrame, trigrams: list[int]) -> DataFrame:
     return out.select("segment_id")
 
 
-def language_counts(docs: DataFrame, top: int = 15) -> DataFrame:
-    """Files by language, most first, the rest beyond ``top`` left out; deleted files still count."""
-    return docs.groupBy("language").agg(F.count("*").alias("n_files")).orderBy(F.desc("n_files"), "language").limit(top)
+def language_counts(docs: DataFrame) -> DataFrame:
+    """Files by language, most first; deleted files still count."""
+    return docs.groupBy("language").agg(F.count("*").alias("n_files")).orderBy(F.desc("n_files"), "language")
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ Everything stays in the plan's own expressions, so that filters reach the scan a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
@@ -94,16 +95,42 @@ def numbered_lines(text: Column) -> Column:
     return F.transform(T.lines(text), lambda x, i: F.struct((i + 1).alias("line_number"), x.alias("line")))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` spells it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _near(numbered: Column, node: Near) -> Column:
+    """Hits of the first term with all others near, in time linear in the lines: the numbers of lines that are near are spelled out."""
     if any("\n" in t or "\r" in t for t in node.terms):
         return F.array().cast(ROWS)
-    def places(term: str) -> Column:
-        return F.transform(F.filter(numbered, lambda x: F.contains(F.lower(x["line"]), F.lit(term.lower()))), lambda x: x["line_number"])
 
-    def close(row: Column, term: str) -> Column:
-        return F.exists(places(term), lambda n: F.abs(n - row["line_number"]) <= node.distance)
+    def places(all_: Column, term: str) -> Column:
+        return F.transform(F.filter(all_, lambda x: F.contains(F.lower(x["line"]), F.lit(term.lower()))), lambda x: x["line_number"])
+
+    def around(all_: Column, term: str) -> Column:
+        def covered(found: Column) -> Column:
+            # From where the line before left off, so that no number comes twice.
+            def own(p: Column, i: Column) -> Column:
+                first = F.greatest(p - node.distance, F.lit(1), F.coalesce(F.get(found, i - 1) + node.distance + 1, F.lit(1)))
+                last = F.least(p + node.distance, F.size(all_))
+                return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+            return F.flatten(F.transform(found, own))
+
+        return _let(places(all_, term), covered)
+
+    def hits(all_: Column) -> Column:
+        near = reduce(F.array_intersect, (around(all_, t) for t in node.terms[1:]), places(all_, node.terms[0]))
+
+        def row(n: Column) -> Column:
+            line = F.get(all_, n - 1)["line"]
+            _, start, end = leaf(line, Literal(node.terms[0]), False)
+            return F.struct(n.alias("line_number"), line.alias("line"), start.cast("int").alias("match_start"), end.cast("int").alias("match_end"))
+
+        return F.transform(near, row)
 
-    return F.filter(_hits(numbered, Literal(node.terms[0]), False), lambda r: reduce(and_, (close(r, t) for t in node.terms[1:])))
+    return _let(numbered, hits)
 
 
 def rows(numbered: Column, node: Node, ignore_case: bool) -> Column:
@@ -112,8 +139,9 @@ def rows(numbered: Column, node: Node, ignore_case: bool) -> Column:
         case Near():
             return _near(numbered, node)
         case And(nodes):
-            parts = [rows(numbered, n, ignore_case) for n in nodes]
-            return F.when(reduce(and_, (F.size(p) > 0 for p in parts)), F.concat(*parts)).otherwise(F.array().cast(ROWS))
+            parts = F.struct(*(rows(numbered, n, ignore_case).alias(f"p{k}") for k, n in enumerate(nodes)))
+            each = lambda p: [p[f"p{k}"] for k in range(len(nodes))]
+            return _let(parts, lambda p: F.when(reduce(and_, (F.size(x) > 0 for x in each(p))), F.concat(*each(p))).otherwise(F.array().cast(ROWS)))
         case Or(nodes):
             return F.concat(*(rows(numbered, n, ignore_case) for n in nodes))
         case Not(inner):

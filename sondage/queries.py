@@ -79,7 +79,7 @@ _grep("lit_upper_query", "LICENSE", _sql(_hits("h", "LICENSE"), select=f"SELECT
 _grep("lit_substring", "onsh", _sql(_hits("h", "onsh"), select=f"SELECT {OUT} FROM h"))
 _grep("phrase_cs", '"License, Version"', _sql(_hits("h", "License, Version", fold=False), select=f"SELECT {OUT} FROM h"))
 _grep("phrase_ci", '"apache license"', _sql(_hits("h", "apache license"), select=f"SELECT {OUT} FROM h"), ignore_case=True)
-_grep("phrase_partial_words", '"der the mi"', _sql(_hits("h", "der the mi", fold=False), select=f"SELECT {OUT} FROM h"))
+_grep("phrase_partial_words", '"ache Lic"', _sql(_hits("h", "ache Lic", fold=False), select=f"SELECT {OUT} FROM h"))
 
 
 def _regex(name: str, pattern: str, flags: str = "") -> str:
@@ -229,10 +229,6 @@ w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(regexp_replac
 t AS (SELECT doc_id, unnest(ws) AS token, CAST(unnest(range(0, len(ws))) AS INTEGER) AS pos FROM w),
 tok AS (SELECT * FROM t WHERE length(token) BETWEEN 2 AND 128)"""
 _GRAMS = """
-b AS (SELECT doc_id, lower(text) AS s FROM docs),
-g AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)))) AS g FROM b WHERE length(s) >= 3))"""
-
-_BYTE_GRAMS = """
 b AS (SELECT doc_id, hex(encode(lower(text))) AS h FROM docs),
 g AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_distinct(list_transform(range(0, length(h) // 2 - 2), lambda i: substr(h, 2 * i + 1, 6)))) AS g FROM b WHERE length(h) >= 6))"""
 
@@ -253,42 +249,20 @@ def posting_lists(spark, d):
     return lists.select("token", F.array_join(F.transform("doc_ids", lambda p: p.cast("string")), ",").alias("doc_ids"))
 
 
-def _char(code: str) -> str:
-    return f"chr({code})"
-
-
-@register("trigram_df", _sql(_GRAMS, select="SELECT g AS gram, count(*) AS df FROM g WHERE regexp_full_match(g, '[\\x00-\\x7F]{3}', 's') GROUP BY g"))
-def trigram_df(spark, d):
-    """Frequencies of trigrams; those of ASCII bytes are the ones that are also three characters."""
-    return _spelled(I.document_frequency(I.grams(docs_of(spark, d))))
-
-
-def _spelled(frequency: DataFrame) -> DataFrame:
-    part = lambda shift: F.shiftright("gram", shift).bitwiseAND(255)
-    ascii_ = (part(16) < 128) & (part(8) < 128) & (part(0) < 128)
-    return frequency.where(ascii_).select(F.concat(F.char(part(16)), F.char(part(8)), F.char(part(0))).alias("gram"), "df")
-
-
-@register("stop_grams", _sql(_GRAMS, select="SELECT g AS gram, count(*) AS df FROM g WHERE regexp_full_match(g, '[\\x00-\\x7F]{3}', 's') GROUP BY g HAVING count(*) >= (SELECT count(*) // 2 + 1 FROM docs)"))
-def stop_grams(spark, d):
-    docs = docs_of(spark, d)
-    return _spelled(I.stop_grams(I.document_frequency(I.grams(docs)), docs.count(), cap=4096))
-
-
 def _in_hex(frequency: DataFrame) -> DataFrame:
     return frequency.select(F.lpad(F.hex("gram"), 6, "0").alias("gram"), "df")
 
 
-@register("byte_trigram_df", _sql(_BYTE_GRAMS, select="SELECT g AS gram, count(*) AS df FROM g GROUP BY g"))
-def byte_trigram_df(spark, d):
+@register("trigram_df", _sql(_GRAMS, select="SELECT g AS gram, count(*) AS df FROM g GROUP BY g"))
+def trigram_df(spark, d):
     """Frequencies of all byte trigrams, in hexadecimal."""
     return _in_hex(I.document_frequency(I.grams(docs_of(spark, d))))
 
 
-@register("byte_stop_grams", _sql(_BYTE_GRAMS, select="SELECT g AS gram, count(*) AS df FROM g GROUP BY g HAVING count(*) >= (SELECT count(*) // 2 + 1 FROM docs)"))
-def byte_stop_grams(spark, d):
+@register("stop_grams", _sql(_GRAMS, select=f"SELECT g AS gram, count(*) AS df FROM g GROUP BY g HAVING count(*) >= (SELECT count(*) // 2 + 1 FROM docs) ORDER BY df DESC, g LIMIT {I.STOP_GRAMS}"))
+def stop_grams(spark, d):
     docs = docs_of(spark, d)
-    return _in_hex(I.stop_grams(I.document_frequency(I.grams(docs)), docs.count(), cap=1 << 24))
+    return _in_hex(I.stop_grams(I.document_frequency(I.grams(docs)), docs.count()))
 
 
 @register("tokens_containing", _sql(_WORDS, select="SELECT DISTINCT doc_id FROM tok WHERE contains(token, 'icen')"))
@@ -334,7 +308,7 @@ def line_map(spark, d):
     return each.select("doc_id", "path", (F.col("n") + 1).alias("line_number"), "line_start")
 
 
-@register("lang_stats", _sql(select="SELECT language, count(*) AS n_files FROM docs GROUP BY language ORDER BY n_files DESC, language LIMIT 15"))
+@register("lang_stats", _sql(select="SELECT language, count(*) AS n_files FROM docs GROUP BY language"))
 def lang_stats(spark, d):
     return I.language_counts(docs_of(spark, d))
 
@@ -366,9 +340,16 @@ def minified_flag(spark, d):
     return pages.select("page_id", T.is_minified(F.encode("html", "UTF-8")).alias("minified"))
 
 
-@register("binary_flag", "SELECT page_id, false AS binary_content FROM pages")
+# Every letter e becomes a control character and every letter x a NUL, so that some documents count as binary.
+@register(
+    "binary_flag",
+    """WITH h AS (SELECT doc_id, left(hex(encode(text)), 16384) AS x FROM documents),
+       c AS (SELECT doc_id, len(x) // 2 AS n, list_transform(range(0, len(x) // 2), lambda i: substr(x, 2 * i + 1, 2)) AS bytes FROM h)
+       SELECT doc_id, len(list_filter(bytes, lambda b: b = '78')) > n // 10 OR len(list_filter(bytes, lambda b: b IN ('65', '78'))) > n // 8 AS binary_content FROM c""",
+)
 def binary_flag(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.is_binary(F.encode("html", "UTF-8")).alias("binary_content"))
+    content = F.encode(F.translate("text", "ex", "\x01\x00"), "UTF-8")
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.is_binary(content).alias("binary_content"))
 
 
 @register("segment_assign", _sql(select="SELECT path, row_number() OVER (ORDER BY path) AS doc_id, CAST((row_number() OVER (ORDER BY path) - 1) // 300 + 1 AS INTEGER) AS segment_id FROM docs"))

@@ -13,11 +13,15 @@ import time
 from collections.abc import Callable
 from typing import BinaryIO
 
+from pyspark.sql import DataFrame, Row
+
 from . import __version__
-from .engine import RESULT_CAP, Engine
+from .engine import Engine
 from .sources.corpus import find_root
 
 PROTOCOL_VERSION = 1
+#: Rows that a response holds at most, as it is one message; ``truncated`` says whether there are more.
+MAX_ROWS = 100_000
 MAX_FRAME = 100 << 20
 
 
@@ -61,25 +65,25 @@ class Service:
     def _search(self, r: dict) -> dict:
         root, engine = self.engine(r.get("root_path"))
         hits = engine.cache.hits
-        rows = engine.search(r["query"], int(r.get("limit", 0))).collect()
-        return {"type": "Search", "cached": engine.cache.hits > hits, "matches": [{"path": x["path"], "line_number": x["line_number"], "score": x["score"]} for x in rows], "resolved_root": root}
+        rows, more = _rows(engine.search(r["query"], int(r.get("limit", 0))))
+        return {"type": "Search", "cached": engine.cache.hits > hits, "truncated": more, "matches": [{"path": x["path"], "line_number": x["line_number"], "score": x["score"]} for x in rows], "resolved_root": root}
 
     def _contentsearch(self, r: dict) -> dict:
         root, engine = self.engine(r.get("root_path"))
         options, limit = r.get("options") or {}, int(r.get("limit", 0))
         fold = bool(options.get("case_insensitive", False))
         if options.get("files_only"):
-            rows = engine.files(r["pattern"], min(limit or RESULT_CAP, RESULT_CAP), fold).collect()
+            rows, more = _rows(engine.files(r["pattern"], limit, fold))
             matches = [{"path": x["path"], "line_number": 1, "line_content": "", "match_start": 0, "match_end": 0, "context_before": [], "context_after": []} for x in rows]
         else:
-            rows = engine.grep(r["pattern"], limit, int(options.get("context_before", 0)), int(options.get("context_after", 0)), fold).collect()
+            rows, more = _rows(engine.grep(r["pattern"], limit, int(options.get("context_before", 0)), int(options.get("context_after", 0)), fold))
             around = lambda x, c: [[y["line_number"], y["line"]] for y in x[c] or []] if c in x else []
             matches = [
                 {"path": x["path"], "line_number": x["line_number"], "line_content": x["line"], "match_start": x["match_start"], "match_end": x["match_end"]}
                 | {c: around(x, c) for c in ("context_before", "context_after")}
                 for x in rows
             ]
-        return {"type": "ContentSearch", "matches": matches, "files_with_matches": len({m["path"] for m in matches}), "resolved_root": root}
+        return {"type": "ContentSearch", "matches": matches, "files_with_matches": len({m["path"] for m in matches}), "truncated": more, "resolved_root": root}
 
     def _status(self, r: dict) -> dict:
         each = [e.status() for e in self.engines.values()]
@@ -115,6 +119,11 @@ class Service:
         return {"type": "ShuttingDown"}
 
 
+def _rows(df: DataFrame) -> tuple[list[Row], bool]:
+    rows = df.limit(MAX_ROWS + 1).collect()
+    return rows[:MAX_ROWS], len(rows) > MAX_ROWS
+
+
 def write_frame(out: BinaryIO, message: dict) -> None:
     """Length as four bytes, the lowest first, then the message as JSON."""
     body = json.dumps(message).encode()

@@ -67,8 +67,8 @@ def test_registered_byte_trigrams_are_all_of_them(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     raw = [t.lower().encode() for t in texts]
     want = Counter(g for b in raw for g in {b[i : i + 3].hex().upper() for i in range(len(b) - 2)})
-    assert {r["gram"]: r["df"] for r in QUERIES["byte_trigram_df"](spark, tmp_path).collect()} == want
-    assert {r["gram"]: r["df"] for r in QUERIES["byte_stop_grams"](spark, tmp_path).collect()} == {g: n for g, n in want.items() if n >= 4} != {}
+    assert {r["gram"]: r["df"] for r in QUERIES["trigram_df"](spark, tmp_path).collect()} == want
+    assert {r["gram"]: r["df"] for r in QUERIES["stop_grams"](spark, tmp_path).collect()} == {g: n for g, n in want.items() if n >= 4} != {}
 
 
 def test_stop_grams(spark):

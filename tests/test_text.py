@@ -51,7 +51,9 @@ def test_formats(spark):
 
 
 def test_line_starts(spark):
-    assert column(spark, ["ab\né\nx"], T.line_starts) == [[0, 3, 6]]
+    texts = ["ab\né\nx", "a\n", "", None, "\n\n", "x\r\ny\n", "é"]
+    assert column(spark, texts, T.line_starts) == [[0, 3, 6], [0], [], None, [0, 1], [0, 3], [0]]
+    assert column(spark, texts, lambda c: F.size(T.line_starts(c)) == F.size(T.lines(c)))[:3] == [True] * 3
     df = spark.createDataFrame([("ab\né\nx",)], "v string")
     assert [df.select(T.line_of_offset(T.line_starts(F.col("v")), F.lit(o))).first()[0] for o in (0, 2, 3, 5, 6)] == [1, 1, 2, 2, 3]
 
