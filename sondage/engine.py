@@ -96,6 +96,7 @@ class Engine:
         store = SnapshotStore(spark, folder)
         with store.lock():
             scan = corpus.scan_tree(spark, root)
+            store.clean()
             if store.version() == 0 or force or not _update(store, scan):
                 good, rejected = corpus.split_rejected(scan)
                 docs = I.assign_segments(good, chunk).withColumn("language", model.language_of(F.col("path")))
@@ -114,8 +115,8 @@ class Engine:
             self.cache.clear()
         if not version:
             raise FileNotFoundError(f"no index in {self.store.folder}")
-        self._docs = self.store.read("docs", version).select(_COLUMNS)
-        age = self.now() - self.store.meta()["updated_at"]
+        self._docs = self.store.read("docs", version)
+        age = self.now() - self.store.meta(version)["updated_at"]
         if age > STALE_SECONDS:
             log.warning("the index is %d minutes old", age // 60)
         return version
@@ -124,7 +125,7 @@ class Engine:
         if self.store is None:
             return self._docs
         read = lambda t: self.store.read(t, self.version)
-        return narrow.narrowed(self._docs, query, read("grams"), read("frequency"), self.store.meta()["valid_doc_count"], read("stops"))
+        return narrow.narrowed(self._docs, query, read("grams"), read("frequency"), self.store.meta(self.version)["valid_doc_count"], read("stops"), read("tokens"))
 
     def _cached(self, key: tuple, make) -> DataFrame:
         self.queries += 1
@@ -136,10 +137,10 @@ class Engine:
     def search(self, query: str, limit: int = 0, weights: S.Weights = S.Weights()) -> DataFrame:
         """Ranked matches, as many as the query's ``top:`` and then ``limit`` allow; 0 allows all.
 
-        Files found by name alone may hold none of the words, so that the index isn't used to leave documents out.
+        Scores are of the time of asking, to the hour: cached ones are no older.
         """
-        parsed = parse_query(query)
-        found = self._cached(("search", query, weights), lambda: S.ranked(self._docs, parsed, int(self.now()), weights))
+        parsed, now = parse_query(query), int(self.now())
+        found = self._cached(("search", query, weights, now // 3600), lambda: S.ranked(self._docs, parsed, now, weights, self._narrowed(parsed)))
         return found.limit(limit) if limit else found
 
     def grep(self, pattern: str, limit: int = 0, before: int = 0, after: int = 0, ignore_case: bool = False) -> DataFrame:
@@ -177,9 +178,8 @@ class Engine:
         out["languages"] = {r["language"]: r["n_files"] for r in counted.limit(TOP_LANGUAGES).collect()}
         out["more_languages"] = max(0, counted.count() - TOP_LANGUAGES)
         if self.store is not None:
-            folder = self.store.folder / f"v{self.version}"
-            out["index_bytes"] = sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
-            out |= self.store.meta()
+            out["index_bytes"] = self.store.bytes(self.version)
+            out |= self.store.meta(self.version)
         return out
 
     def status(self) -> dict:
@@ -200,26 +200,30 @@ class Engine:
     def compact(self) -> int:
         """Rewrite the valid documents as one segment."""
         with self.store.lock():
-            self.store.commit(upkeep.compacted(self._docs), self.store.read("rejected"))
+            self.store.compact()
         return self.reload()
 
     def watch(self, events: DataFrame, checkpoint: str, root: str | None = None, config: WatchConfig | None = None, available_now: bool = False):
-        """Reconcile with the tree once, then keep applying a stream of change events."""
+        """Reconcile with the tree once, then keep applying a stream of change events.
+
+        Events of paths that aren't indexed are dropped, those of a path gathered until it is quiet, and this engine reads each new
+        version as soon as it is there.  ``available_now`` applies what the stream has by now, without waiting for quiet.
+        """
         root = root or self.store.meta()["root"]
         with self.store.lock():
             _update(self.store, corpus.scan_tree(self.spark, root))
+        self.reload()
 
         def read(paths: DataFrame) -> DataFrame:
-            files = corpus.scan_tree(self.spark, root).join(paths, "path", "left_semi")
-            return corpus.split_rejected(files)[0]
+            return corpus.split_rejected(corpus.read_files(self.spark, root, paths))[0]
 
-        self.watcher = IndexWatcher(self.store, read, config or WatchConfig.load())
+        self.watcher = IndexWatcher(self.store, read, config or WatchConfig.load(), corpus.ignore_patterns(root), self.reload)
         return self.watcher.start(events, checkpoint, available_now)
 
 
 def _update(store: SnapshotStore, scan: DataFrame) -> bool:
     """Apply what differs between a scan and the index; False if a full build is better."""
-    meta, docs, rejected = store.meta(), store.read("docs").select(_COLUMNS), store.read("rejected")
+    meta, docs, rejected = store.meta(), store.read("docs"), store.read("rejected")
     change = upkeep.difference(scan, docs, rejected).persist()
     try:
         n = change.count()
@@ -228,13 +232,11 @@ def _update(store: SnapshotStore, scan: DataFrame) -> bool:
         if upkeep.should_rebuild(n, meta["valid_doc_count"]):
             return False
         good, binary = corpus.split_rejected(scan.join(change.where("change <> 'deleted'"), "path", "left_semi"))
-        next_id = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
-        after = upkeep.apply_delta(docs, change.where("change <> 'new'"), good, next_id, max([0, *meta["segments"]]) + 1)
         known = rejected.join(binary, "path", "left_anti").unionByName(binary)
-        store.commit(after, known, delta_baseline=meta["delta_baseline"])
+        store.commit_delta(change.where("change <> 'new'"), good, known)
         now = store.meta()
         if upkeep.should_compact(len(now["segments"]), now["delta_baseline"], now["tombstone_count"], now["doc_count"]):
-            store.commit(upkeep.compacted(store.read("docs").select(_COLUMNS)), store.read("rejected"))
+            store.compact()
         return True
     finally:
         change.unpersist()

@@ -165,6 +165,13 @@ def query_tokens(text: str) -> list[tuple[str, int]]:
     return [(w, k) for k, w in enumerate(words) if 2 <= len(w) <= 128]
 
 
+def whole_tokens(text: str) -> list[tuple[str, int]]:
+    """Those of :func:`query_tokens` that are whole wherever ``text`` occurs: not the first and last unless it has a cut before and after them."""
+    parts = re.split(r"[^a-z0-9]+", _HUMP.sub(r"\1 \2", text).lower())
+    last = len([w for w in parts if w]) - 1
+    return [(w, k) for w, k in query_tokens(text) if (k > 0 or not parts[0]) and (k < last or not parts[-1])]
+
+
 def query_trigrams(text: str) -> list[int]:
     """Distinct byte trigrams of a query in order, as integers; texts under three bytes have none."""
     raw = text.encode()

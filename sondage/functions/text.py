@@ -129,19 +129,24 @@ def format_timestamp(seconds: Column) -> Column:
 
 
 def _byte_slices(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     cuts = np.flatnonzero(np.diff(np.r_[-1, (np.cumsum(size) - size) // limit]))
     for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
         yield batch.slice(int(a), int(b - a))
 
 
-def trigrams(docs: DataFrame, lower: bool = True) -> DataFrame:
-    """Columns ``doc_id, gram``: the distinct byte trigrams of each text, lower-cased unless ``lower`` is off."""
+def trigrams(docs: DataFrame, lower: bool = True, keys: tuple[str, ...] = ("doc_id",), positions: bool = False) -> DataFrame:
+    """Columns ``*keys, gram``: the distinct byte trigrams of each text, lower-cased unless ``lower`` is off.
+
+    With ``positions`` every occurrence has a row, with its byte offset in ``pos``.
+    """
+    fields = [docs.select(F.col(k).cast("bigint") if k == "doc_id" else k).schema[0] for k in keys]
+    names = [*keys, "gram", *["pos"] * positions]
 
     def emit(batches):
         for batch in batches:
             for part in _byte_slices(batch) if batch.num_rows else ():
-                texts = pc.fill_null(part.column(1).cast(pa.large_string()), "")
+                texts = pc.fill_null(part.column(len(keys)).cast(pa.large_string()), "")
                 texts = pc.utf8_lower(texts) if lower else texts
                 ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
                 raw = texts.buffers()[2]
@@ -152,9 +157,14 @@ def trigrams(docs: DataFrame, lower: bool = True) -> DataFrame:
                 code = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
                 doc = np.searchsorted(ends, np.arange(len(code)), side="right") - 1
                 inside = np.arange(len(code)) + 3 <= ends[doc + 1]
-                pairs = np.unique(doc[inside] << 24 | code[inside])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(pairs >> 24)), pa.array((pairs & 0xFFFFFF).astype(np.int32))], names=["doc_id", "gram"]
-                )
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(emit, "doc_id bigint, gram int")
+                at = np.flatnonzero(inside)
+                doc, code = doc[at], code[at]
+                if not positions:
+                    pairs = np.unique(doc << 24 | code)
+                    doc, code = pairs >> 24, pairs & 0xFFFFFF
+                columns = [part.column(k).take(pa.array(doc)) for k in range(len(keys))] + [pa.array(code.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array((at - ends[doc]).astype(np.int32))] if positions else []), names=names)
+
+    chosen = [F.col(k).cast("bigint").alias(k) if k == "doc_id" else F.col(k) for k in keys]
+    schema = ", ".join([*(f"`{k}` {f.dataType.simpleString()}" for k, f in zip(keys, fields, strict=True)), "gram int", *["pos int"] * positions])
+    return docs.select(*chosen, "text").mapInArrow(emit, schema)

@@ -13,23 +13,27 @@ from ..functions import text as T
 STOP_GRAMS = 512
 
 
+def _keys(docs: DataFrame) -> tuple[str, ...]:
+    return ("doc_id", "segment_id") if "segment_id" in docs.columns else ("doc_id",)
+
+
 def grams(docs: DataFrame, lower: bool = True) -> DataFrame:
-    """Postings ``gram, doc_id``: every distinct byte trigram of each text.
+    """Postings ``gram, doc_id`` and, if ``docs`` have it, ``segment_id``: every distinct byte trigram of each text.
 
     Of lower-cased text by default, which serves exact and case-blind queries alike.
     """
-    return T.trigrams(docs, lower).select("gram", "doc_id")
+    return T.trigrams(docs, lower, _keys(docs)).select("gram", *_keys(docs))
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """Postings ``token, doc_id, positions`` with ascending ordinals."""
-    each = docs.select("doc_id", F.explode(T.token_positions(F.col("text"))).alias("t"))
-    return each.groupBy(F.col("t.token").alias("token"), "doc_id").agg(F.sort_array(F.collect_list("t.pos")).alias("positions"))
+    """Postings ``token, doc_id`` (and ``segment_id``, if ``docs`` have it) with ascending ordinals in ``positions``."""
+    each = docs.select(*_keys(docs), F.explode(T.token_positions(F.col("text"))).alias("t"))
+    return each.groupBy(F.col("t.token").alias("token"), *_keys(docs)).agg(F.sort_array(F.collect_list("t.pos")).alias("positions"))
 
 
 def token_documents(docs: DataFrame) -> DataFrame:
-    """Postings ``token, doc_id`` without positions; needs no shuffle."""
-    return docs.select(F.explode(T.tokens(F.col("text"))).alias("token"), "doc_id")
+    """Postings ``token, doc_id`` (and ``segment_id``, if ``docs`` have it) without positions; needs no shuffle."""
+    return docs.select(F.explode(T.tokens(F.col("text"))).alias("token"), *_keys(docs))
 
 
 def document_frequency(postings: DataFrame, term: str = "gram") -> DataFrame:
@@ -47,32 +51,36 @@ def posting_lists(postings: DataFrame, term: str) -> DataFrame:
 
 
 def holding_all(postings: DataFrame, terms: list, term: str = "gram") -> DataFrame:
-    """Ids of documents that hold every one of ``terms``; ``postings`` hold no pair twice."""
-    wanted = sorted(set(terms))
-    found = postings.where(F.col(term).isin(*wanted)).select(term, "doc_id")
+    """Ids (``doc_id`` and, if ``postings`` have it, ``segment_id``) of documents that hold every one of ``terms``.
+
+    ``postings`` hold no pair twice.
+    """
+    wanted, keys = sorted(set(terms)), _keys(postings)
+    found = postings.where(F.col(term).isin(*wanted)).select(term, *keys)
     if len(wanted) == 1:
-        return found.select("doc_id")
-    return found.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("doc_id")
+        return found.select(*keys)
+    return found.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select(*keys)
 
 
 def containing(token_postings: DataFrame, needle: str) -> DataFrame:
     """Ids of documents with a token that holds ``needle``."""
-    return token_postings.where(F.contains("token", F.lit(needle.lower()))).select("doc_id").distinct()
+    return token_postings.where(F.contains("token", F.lit(needle.lower()))).select(*_keys(token_postings)).distinct()
 
 
 def adjacent(token_postings: DataFrame, phrase: list[tuple[str, int]]) -> DataFrame:
     """Ids of documents that have the tokens of ``phrase`` (token, ordinal) with exactly its gaps."""
+    keys = _keys(token_postings)
     if not phrase:
-        return token_postings.select("doc_id").limit(0)
+        return token_postings.select(*keys).limit(0)
     base = phrase[0][1]
     parts = [F.when(F.col("token") == t, F.transform("positions", lambda p: p - (o - base))) for t, o in phrase]
     starts = [F.max(p).alias(f"p{k}") for k, p in enumerate(parts)]
-    found = token_postings.where(F.col("token").isin(*sorted({t for t, _ in phrase}))).groupBy("doc_id").agg(*starts)
+    found = token_postings.where(F.col("token").isin(*sorted({t for t, _ in phrase}))).groupBy(*keys).agg(*starts)
     common = F.col("p0")
     for k in range(1, len(parts)):
         common = F.array_intersect(common, F.col(f"p{k}"))
     # A token that is missing leaves its column null, and so the condition.
-    return found.where(F.size(common) > 0).select("doc_id")
+    return found.where(F.size(common) > 0).select(*keys)
 
 
 def assign_segments(files: DataFrame, chunk: int = model.FILES_PER_SEGMENT, first_id: int = 1, order: str = "path") -> DataFrame:

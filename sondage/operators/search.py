@@ -134,11 +134,12 @@ def name_hit(path: Column, terms: list[str]) -> Column:
     return reduce(or_, (F.contains(name, F.lit(t)) for t in terms)) if terms else F.lit(False)
 
 
-def ranked(docs: DataFrame, query: Query, now: int, weights: Weights = Weights()) -> DataFrame:
+def ranked(docs: DataFrame, query: Query, now: int, weights: Weights = Weights(), within: DataFrame | None = None) -> DataFrame:
     """Best matches (:data:`sondage.model.RANKED`) in the query's order, ``top:`` of them or all if that is 0.
 
     Files whose name holds a term of the query but whose text has no match come with line 1 and score 2, if they pass the
-    filters, ``top:`` of them at most in order of id.  All matches are scored before the best are taken.
+    filters, ``top:`` of them at most in order of id.  All matches are scored before the best are taken.  ``within`` are the documents
+    that can match, where an index has left out others; names are looked for in all.
     """
     node = C.pruned(query.root)
     kept = docs.where(C.document_filter(query.filters)) if not query.is_empty() else _nothing(docs)
@@ -146,7 +147,8 @@ def ranked(docs: DataFrame, query: Query, now: int, weights: Weights = Weights()
     if node is None:
         hits = kept.select("doc_id", "path", "mtime", F.lit(1).alias("line_number"), F.lit(1.0).alias("score"))
     else:
-        numbered = kept.where(C.maybe(F.col("text"), node, query.ignore_case)).withColumn("numbered", C.numbered_lines(F.col("text")))
+        texts = kept if within is None else within.where(C.document_filter(query.filters))
+        numbered = texts.where(C.maybe(F.col("text"), node, query.ignore_case)).withColumn("numbered", C.numbered_lines(F.col("text")))
         found = C.rows(F.col("numbered"), node, query.ignore_case)
         wanted = C.line_range(F.col("line_number"), query.filters)
         if wanted is not None:

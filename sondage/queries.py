@@ -13,9 +13,11 @@ from .functions.patterns import query_tokens, query_trigrams
 from .operators import index as I
 from .operators import search as S
 from .operators import upkeep as U
+from .operators.snapshots import SnapshotStore
 from .plans import narrow
 from .plans.parser import build_pattern, parse_query
 from .sources.corpus import from_documents
+from .sources.shared import scratch_dir
 from .streaming import changes
 
 #: 2025-01-01, the clock that scores are taken at.
@@ -416,6 +418,64 @@ def compact_renumber(spark, d):
     return U.compacted(_after_delta(spark, d)).select("doc_id", "path", "mtime", "segment_id")
 
 
+_POSTINGS = """
+live AS (SELECT delta.doc_id, row_number() OVER (ORDER BY delta.doc_id) AS new_id, docs.text FROM delta JOIN docs ON docs.path = delta.path WHERE flags = 0),
+w AS (SELECT *, list_filter(string_split(regexp_replace(lower(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM live),
+tok AS (SELECT DISTINCT token, doc_id, new_id FROM (SELECT doc_id, new_id, unnest(ws) AS token FROM w) WHERE length(token) BETWEEN 2 AND 128)"""
+
+
+def _stored(spark, d) -> SnapshotStore:
+    """An index that is built and then changed by one delta."""
+    indexed, scan = _index_and_scan(spark, d)
+    store = SnapshotStore(spark, scratch_dir(spark))
+    store.commit(indexed)
+    change = U.difference(scan, indexed)
+    store.commit_delta(change.where("change <> 'new'"), scan.join(change.where("change <> 'deleted'"), "path", "left_semi"))
+    return store
+
+
+def _summed(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("doc_id").alias("id_sum"))
+
+
+@register("delta_postings", _sql(_DELTA, _POSTINGS, select="SELECT token, count(*) AS df, CAST(sum(doc_id) AS BIGINT) AS id_sum FROM tok GROUP BY token"))
+def delta_postings(spark, d):
+    return _summed(_stored(spark, d).postings("tokens"))
+
+
+@register("compacted_postings", _sql(_DELTA, _POSTINGS, select="SELECT token, count(*) AS df, CAST(sum(new_id) AS BIGINT) AS id_sum FROM tok GROUP BY token"))
+def compacted_postings(spark, d):
+    store = _stored(spark, d)
+    store.compact()
+    return _summed(store.postings("tokens"))
+
+
+def _indexed_grep(name: str, query: str, sql: str) -> None:
+    """Matching lines by way of a stored index of segments of 100 files, which leaves documents and segments out."""
+
+    def run(spark, d):
+        store = SnapshotStore(spark, scratch_dir(spark))
+        store.commit(docs_of(spark, d).withColumn("segment_id", (F.floor(F.col("doc_id") / 100) + 1).cast("int")))
+        parsed = parse_query(query)
+        found = narrow.narrowed(store.read("docs"), parsed, store.read("grams"), store.read("frequency"), store.meta()["valid_doc_count"], store.read("stops"), store.read("tokens"))
+        return S.grep(found, parsed)
+
+    register(name, sql)(run)
+
+
+_indexed_grep("indexed_phrase", '"the Apache License, Ver"', _sql(_hits("h", "the Apache License, Ver", fold=False), select=f"SELECT {OUT} FROM h"))
+_indexed_grep("indexed_word", build_pattern(["MIT"], word=True), _sql(_regex("h", r"\bMIT\b"), select=f"SELECT {OUT} FROM h"))
+_indexed_grep("indexed_not", "license -mit", _sql(_hits("a", "license"), _hits("b", "mit"), select=f"SELECT {OUT} FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b) UNION ALL {_FIRST} AND doc_id IN (SELECT doc_id FROM a)"))
+_indexed_grep("indexed_or", "apache | reserved", _sql(_hits("a", "apache"), _hits("b", "reserved"), select=f"SELECT {OUT} FROM a UNION ALL SELECT {OUT} FROM b"))
+
+
+@register("gram_positions", _sql("q AS (SELECT doc_id, hex(encode(lower(text))) AS h FROM docs)", "p AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 2)) AS pos FROM q WHERE len(h) >= 6)", select="SELECT doc_id, CAST(pos AS INTEGER) AS pos FROM p WHERE substr(h, 2 * pos + 1, 6) = '6C6963'"))
+def gram_positions(spark, d):
+    """Where the trigram ``lic`` occurs, by byte offset."""
+    placed = T.trigrams(docs_of(spark, d), positions=True)
+    return placed.where(F.col("gram") == query_trigrams("lic")[0]).select("doc_id", "pos")
+
+
 @register("tombstone_stats", _sql(_DELTA, select="SELECT count(*) AS n_docs, count(*) FILTER (flags = 0) AS n_valid, count(*) FILTER (flags = 32) AS n_tombstones, round(count(*) FILTER (flags = 32) / count(*), 6) AS tombstone_ratio FROM delta"))
 def tombstone_stats(spark, d):
     return I.corpus_stats(_after_delta(spark, d)).drop("n_bytes")

@@ -33,20 +33,32 @@ def from_documents(documents: DataFrame) -> DataFrame:
     )
 
 
-def ignore_patterns(root: str) -> list[str]:
-    """Lines of the tree's ignore files and the user's own, in order."""
+def ignore_patterns(root: str) -> list[tuple[str, str]]:
+    """Lines of the user's ignore files and the tree's own, each with the folder that it is about (relative, "" for all of the tree).
+
+    Files in folders below come after those above, so that the nearest has the last word.
+    """
     home = Path.home()
-    out: list[str] = []
-    for p in (home / ".gitignore_global", home / ".config/git/ignore", Path(root, ".git/info/exclude"), Path(root, ".gitignore")):
+    out: list[tuple[str, str]] = []
+    for p in (home / ".gitignore_global", home / ".config/git/ignore", Path(root, ".git/info/exclude")):
         if p.is_file():
-            out += p.read_text(errors="replace").splitlines()
-    return out
+            out += [("", line) for line in p.read_text(errors="replace").splitlines()]
+    for folder, below, names in os.walk(root):
+        below[:] = sorted(d for d in below if not d.startswith(".") and d not in model.IGNORED_DIRS)
+        if ".gitignore" in names:
+            at = os.path.relpath(folder, root)
+            out += [("" if at == "." else at, line) for line in Path(folder, ".gitignore").read_text(errors="replace").splitlines()]
+    return sorted(out, key=lambda x: x[0].count("/") + bool(x[0]))
+
 
+def ignored(path: Column, patterns: list[str] | list[tuple[str, str]]) -> Column:
+    """Whether the last pattern that a relative path or one of its folders matches excludes it; ``!`` includes again.
 
-def ignored(path: Column, patterns: list[str]) -> Column:
-    """Whether the last pattern that a relative path or one of its folders matches excludes it; ``!`` includes again."""
+    A pattern may come with the folder that it is about.
+    """
     out = F.lit(False)
     for raw in patterns:
+        base, raw = raw if isinstance(raw, tuple) else ("", raw)
         line = raw.rstrip() if not raw.endswith("\\ ") else raw
         if not line or line.startswith("#"):
             continue
@@ -58,7 +70,7 @@ def ignored(path: Column, patterns: list[str]) -> Column:
         if glob is None or not line:
             continue
         body = glob.removeprefix("(?s)^").removesuffix(r"\z")
-        regex = "(?s)^" + ("" if anchored else "(?:.*/)?") + f"(?:{body})" + ("/" if folder else r"(?:/|\z)")
+        regex = "(?s)^" + (_quoted(base) + "/" if base else "") + ("" if anchored else "(?:.*/)?") + f"(?:{body})" + ("/" if folder else r"(?:/|\z)")
         out = F.when(F.rlike(path, F.lit(regex)), F.lit(not keep)).otherwise(out)
     return out
 
@@ -73,7 +85,30 @@ def escapes_root(path: Column) -> Column:
     return path.startswith("/") | F.exists(F.split(path, "/", -1), lambda p: p == "..")
 
 
-def scan_tree(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
+def read_files(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
+    """Those of a tree's files that ``paths`` (column ``path``, relative) names, as :func:`scan_tree` gives them.
+
+    Each is opened by its path, by the executors, so that a few changes don't list the whole tree.
+    """
+    base = os.path.realpath(root)
+
+    def read(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                whole = os.path.join(base, path)
+                if os.path.realpath(whole) == whole and os.path.isfile(whole) and 1 <= os.path.getsize(whole) <= model.MAX_FILE_BYTES:
+                    data = Path(whole).read_bytes()
+                    rows.append((path, int(os.path.getmtime(whole)), len(data), data))
+            yield pd.DataFrame(rows, columns=["path", "mtime", "size", "content"])
+
+    named = paths.select("path").distinct().where(~model.extension(F.col("path")).isin(*sorted(model.BINARY_EXTENSIONS)) & ~is_hidden_or_pruned(F.col("path")) & ~escapes_root(F.col("path")))
+    return named.mapInPandas(read, "path string, mtime bigint, size bigint, content binary")
+
+
+def scan_tree(spark: SparkSession, root: str, patterns: list | None = None) -> DataFrame:
     """Regular files of a tree: ``path, mtime, size, content``; binary extensions, hidden and ignored files are left out.
 
     Sizes are checked before contents are read.  Symbolic links are not followed.

@@ -46,49 +46,78 @@ class IndexWatcher:
     """Applies micro-batches of change events to a snapshot store.
 
     ``read`` gives the current files of a list of paths (``path, size, mtime, flags, text``) as a frame; deleted paths are absent.
+    ``patterns`` are those of the ignore files; ``applied`` is called after each new version.
     """
 
-    def __init__(self, store: SnapshotStore, read: Callable[[DataFrame], DataFrame], config: WatchConfig = WatchConfig()):
-        self.store, self.read, self.config = store, read, config
-        self.query = None
+    def __init__(self, store: SnapshotStore, read: Callable[[DataFrame], DataFrame], config: WatchConfig = WatchConfig(), patterns: list | None = None, applied: Callable[[], object] | None = None):
+        self.store, self.read, self.config, self.patterns, self.applied = store, read, config, patterns or [], applied
+        self.query, self.checkpoint = None, None
 
     def flush(self, events: DataFrame, batch_id: int = 0) -> int:
         """Apply one batch, by a delta or, if it is large, a rebuild; gives the version that is then current."""
-        lists = batched(events)
-        touched = lists.count()
-        if not touched:
-            return self.store.version()
-        with self.store.lock():
-            meta, docs = self.store.meta(), self.store.read("docs")
-            fresh = self.read(lists.where("created or modified").select("path"))
-            gone = lists.select("path")
-            columns = [c.split()[0] for c in model.DOCS.split(", ")]
-            docs = docs.select(columns)
-            if upkeep.should_rebuild(touched, meta["valid_doc_count"], self.config.rebuild_threshold_percent):
-                kept = docs.where(model.is_valid(F.col("flags"))).join(gone, "path", "left_anti").select("path", "size", "mtime", "flags", "text")
-                rebuilt = assign_segments(kept.unionByName(fresh.select("path", "size", "mtime", "flags", "text")))
-                return self.store.commit(rebuilt.withColumn("language", model.language_of(F.col("path"))).select(columns))
-            next_id = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
-            after = upkeep.apply_delta(docs, gone, fresh, next_id, max([0, *meta["segments"]]) + 1)
-            version = self.store.commit(after, delta_baseline=meta["delta_baseline"])
-            now = self.store.meta()
-            if upkeep.should_compact(len(now["segments"]), now["delta_baseline"], now["tombstone_count"], now["doc_count"], self.config.merge_segment_threshold):
-                version = self.store.commit(upkeep.compacted(self.store.read("docs").select(columns)))
-            return version
+        lists = batched(ignore_filter(events, self.patterns)).persist()
+        try:
+            touched = lists.count()
+            if not touched:
+                return self.store.version()
+            with self.store.lock():
+                version = self._apply(lists, touched)
+        finally:
+            lists.unpersist()
+        if self.applied is not None:
+            self.applied()
+        return version
+
+    def _apply(self, lists: DataFrame, touched: int) -> int:
+        meta = self.store.meta()
+        fresh = self.read(lists.where("created or modified").select("path")).select("path", "size", "mtime", "flags", "text")
+        gone = lists.select("path")
+        if upkeep.should_rebuild(touched, meta["valid_doc_count"], self.config.rebuild_threshold_percent):
+            docs = self.store.read("docs")
+            kept = docs.where(model.is_valid(F.col("flags"))).join(gone, "path", "left_anti").select(fresh.columns)
+            rebuilt = assign_segments(kept.unionByName(fresh))
+            return self.store.commit(rebuilt.withColumn("language", model.language_of(F.col("path"))), self.store.read("rejected"))
+        version = self.store.commit_delta(gone, fresh)
+        now = self.store.meta()
+        if upkeep.should_compact(len(now["segments"]), now["delta_baseline"], now["tombstone_count"], now["doc_count"], self.config.merge_segment_threshold):
+            version = self.store.compact()
+        return version
 
     def start(self, events: DataFrame, checkpoint: str, available_now: bool = False):
-        """Run :meth:`flush` on a stream of events every flush interval, or once over what is there."""
-        writer = events.writeStream.foreachBatch(lambda df, i: self.flush(df, i)).option("checkpointLocation", checkpoint)
-        interval = {"availableNow": True} if available_now else {"processingTime": f"{self.config.delta_flush_interval_secs} seconds"}
+        """Run :meth:`flush` on a stream of events every flush interval, once each path has been quiet; or once over what is there."""
+        self.checkpoint = checkpoint
+        if available_now:
+            stream, interval = events, {"availableNow": True}
+        else:
+            quiet = coalesced_stream(ignore_filter(events, self.patterns), self.config.debounce_ms)
+            # One event a path, so that there is no order among them.
+            stream = quiet.withColumn("ts", F.lit(0).cast("timestamp")).withColumn("seq", F.lit(0).cast("bigint"))
+            interval = {"processingTime": f"{self.config.delta_flush_interval_secs} seconds"}
+        writer = stream.writeStream.foreachBatch(lambda df, i: self.flush(df, i) and None).option("checkpointLocation", checkpoint)
         self.query = writer.trigger(**interval).start()
         return self.query
 
+    def pending(self) -> DataFrame | None:
+        """Events (``path, kind``) that wait for quiet, from the stream's state; None if it keeps none."""
+        if self.query is None or not (self.query.lastProgress or {}).get("stateOperators"):
+            return None
+        state = self.store.spark.read.format("statestore").load(self.checkpoint)
+        return state.select(F.col("key.path").alias("path"), F.col("value.groupState.kind").alias("kind")).where("kind is not null")
+
     def status(self) -> tuple[bool, int]:
-        """Whether the stream runs, and the events of its last micro-batch."""
+        """Whether the stream runs, and how many paths wait for quiet or, if it keeps no state, came with the last micro-batch."""
         running = self.query is not None and self.query.isActive
         last = self.query.lastProgress if self.query is not None else None
-        return running, int(last["numInputRows"]) if last else 0
+        if not last:
+            return running, 0
+        operators = last["stateOperators"]
+        return running, int(operators[0]["numRowsTotal"] if operators else last["numInputRows"])
 
     def stop(self) -> None:
-        if self.query is not None:
-            self.query.stop()
+        """End the stream; what still waits for quiet is applied, so that nothing that was seen is lost."""
+        if self.query is None:
+            return
+        self.query.stop()
+        waiting = self.pending()
+        if waiting is not None:
+            self.flush(waiting.withColumn("ts", F.lit(0).cast("timestamp")).withColumn("seq", F.lit(0).cast("bigint")))

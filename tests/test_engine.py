@@ -4,10 +4,13 @@ import io
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from sondage import output
 from sondage.cli import main
 from sondage.engine import Engine, LruCache, index_folder, list_indexes
+from sondage.operators.snapshots import SnapshotStore
+from sondage.plans.parser import parse_query
 from sondage.sources import corpus
 
 
@@ -79,6 +82,108 @@ def test_small_change_makes_a_delta(spark, tree, tmp_path):
     assert paths(engine.files("padding")) == sorted(f"pad{k}.txt" for k in range(12) if k not in (3, 4)) and paths(engine.files("needle")) == ["pad3.txt"]
 
 
+def files_of(folder):
+    return {p.relative_to(folder): p.stat().st_mtime_ns for p in folder.rglob("*") if p.is_file()}
+
+
+def test_a_delta_writes_its_own_segment_alone(make_docs, spark, tmp_path):
+    docs = make_docs([(f"f{k}.rs", f"common word{k}") for k in range(20)]).withColumn("segment_id", (F.col("doc_id") / 5).cast("int") + 1)
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    store.commit(docs)
+    before = files_of(tmp_path / "s")
+    fresh = spark.createDataFrame([("f3.rs", 9, 5, 0, "common changed"), ("new.rs", 8, 5, 0, "brand common")], "path string, size bigint, mtime bigint, flags int, text string")
+    gone = spark.createDataFrame([("f3.rs",), ("f4.rs",), ("none",)], "path string")
+    assert store.commit_delta(gone, fresh) == 2
+    after = files_of(tmp_path / "s")
+    assert {p: t for p, t in after.items() if p in before and "CURRENT" not in p.name} == {p: t for p, t in before.items() if "CURRENT" not in p.name}
+    assert {p.parts[1] + "/" + p.parts[2] for p in after if p not in before and p.parts[0] == "g1"} == {"docs/segment_id=6", "grams/part=1", "tokens/part=1", "frequency/part=1"}
+    meta = store.meta()
+    assert meta["segments"] == [1, 2, 3, 4, 5, 6] and (meta["doc_count"], meta["valid_doc_count"], meta["tombstone_count"], meta["next_id"]) == (22, 20, 2, 23)
+    # A reader of the old version still sees it whole.
+    assert store.read("docs", 1).where("flags = 0").count() == 20 and store.read("docs", 2).where("flags = 0").count() == 20
+    live = {r["path"]: r["doc_id"] for r in store.read("docs").where("flags = 0").collect()}
+    assert "f4.rs" not in live and live["f3.rs"] == 21 and live["new.rs"] == 22
+    tokens = lambda: {(r["token"], r["doc_id"]) for r in store.postings("tokens").collect()}
+    assert {i for t, i in tokens() if t == "common"} == set(live.values()) and ("word3", 4) not in tokens()
+    assert store.read("frequency").where("gram = 6516589").first()["df"] == 22  # "com" of old and new parts
+    # Merging gives the postings that a build from the same documents gives.
+    store.compact()
+    merged = {t: sorted(map(repr, store.read(t).collect())) for t in ("grams", "tokens", "frequency")}
+    other = SnapshotStore(spark, str(tmp_path / "o"))
+    other.commit(store.read("docs"))
+    assert merged == {t: sorted(map(repr, other.read(t).collect())) for t in merged}
+    assert store.meta()["segments"] == [1] and store.meta()["tombstone_count"] == 0
+    store.forget_before(3)
+    assert sorted(p.name for p in (tmp_path / "s").iterdir() if p.is_dir()) == ["g3", "v3"]
+    (tmp_path / "s/v9").mkdir()
+    store.clean()
+    assert not (tmp_path / "s/v9").exists() and store.read("docs").count() == 20
+
+
+def test_the_index_saves_reading(make_docs, spark, tmp_path):
+    docs = make_docs([(f"f{k}.rs", f"common word{k} in {'needle' if k in (3, 4) else 'hay'}") for k in range(40)]).withColumn("segment_id", (F.col("doc_id") / 4).cast("int"))
+    SnapshotStore(spark, str(tmp_path / "s")).commit(docs)
+    engine = Engine.open(spark, str(tmp_path / "s"))
+    found = engine._narrowed(parse_query("needle"))
+    scan = found.select("text")
+    assert sorted(r["path"] for r in engine.grep("needle").collect()) == ["f3.rs", "f4.rs"]
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "segment_id" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    read = {f.split("segment_id=")[1].split("/")[0] for f in engine._docs.where(F.col("segment_id").isin(1)).inputFiles()}
+    assert "1" in read
+    numbers = {int(r[0]) for r in found.select("segment_id").distinct().collect()}
+    assert numbers == {1}
+    # Ranked search reads as little, and still finds names in all.
+    assert [r["path"] for r in engine.search("needle").collect()] == ["f3.rs", "f4.rs"]
+    assert [r["path"] for r in engine.search("f7").collect()] == ["f7.rs"]
+
+
+def test_watching_waits_for_quiet_and_loses_nothing(spark, tree, tmp_path):
+    import time
+
+    from test_streaming import events
+
+    from sondage.streaming.changes import WatchConfig
+
+    for k in range(12):
+        (tree / f"pad{k}.txt").write_text(f"padding {k}\n")
+    engine = Engine.build(spark, str(tree), str(tmp_path / "i"))
+    assert engine.files("needle").count() == 0
+    (tree / "pad1.txt").write_text("needle one\n")
+    source = tmp_path / "events"
+    first = events(spark, [("pad1.txt", "Modified", 0), ("pad1.txt", "Modified", 3), ("skip.log", "Modified", 0), (".hidden/x.rs", "Created", 0)])
+    first.coalesce(1).write.parquet(str(source))
+    stream = spark.readStream.schema(first.schema).parquet(str(source))
+    engine.watch(stream, str(tmp_path / "ck"), config=WatchConfig(debounce_ms=300, delta_flush_interval_secs=1))
+    try:
+        end = time.time() + 120
+        while time.time() < end and engine.version < 2:
+            time.sleep(0.5)
+        # This engine reads the new version by itself.
+        assert paths(engine.files("needle")) == ["pad1.txt"] and engine.status()["watching"]
+    finally:
+        engine.watcher.stop()
+    # What still waits for quiet when the stream ends is applied.
+    (tree / "pad2.txt").write_text("needle two\n")
+    second = events(spark, [("pad2.txt", "Modified", 0)])
+    second.coalesce(1).write.mode("append").parquet(str(source))
+    engine.watch(spark.readStream.schema(first.schema).parquet(str(source)), str(tmp_path / "ck2"), config=WatchConfig(debounce_ms=3_600_000, delta_flush_interval_secs=1))
+    end = time.time() + 120
+    while time.time() < end and engine.watcher.status()[1] == 0:
+        time.sleep(0.5)
+    assert engine.watcher.status()[1] > 0
+    engine.watcher.stop()
+    assert paths(engine.files("needle")) == ["pad1.txt", "pad2.txt"]
+
+
+def test_ignore_files_in_folders_below(spark, tree):
+    (tree / "src/.gitignore").write_text("*.rs\n!main.rs\n/deep/only.txt\n")
+    for name in ("src/deep/only.txt", "src/x/deep/only.txt", "other.rs"):
+        (tree / name).parent.mkdir(parents=True, exist_ok=True)
+        (tree / name).write_text("text")
+    assert paths(corpus.scan_tree(spark, str(tree))) == ["a b+c%41.txt", "bin.dat", "latin.txt", "other.rs", "src/main.rs", "src/x/deep/only.txt"]
+
+
 def test_watching(spark, tree, tmp_path):
     from test_streaming import events
 

@@ -19,25 +19,40 @@ FILES = [("a.rs", "hello world foo"), ("b.rs", "hello big world"), ("c.py", "the
 
 @pytest.fixture(scope="module")
 def index(spark, sf):
-    docs = from_documents(spark.read.parquet(f"{sf}/documents.parquet")).cache()
+    docs = from_documents(spark.read.parquet(f"{sf}/documents.parquet")).withColumn("segment_id", (F.col("doc_id") / 20).cast("int"))
     grams = I.grams(docs).cache()
-    return docs, grams, I.document_frequency(grams).cache()
+    return docs, grams, I.document_frequency(grams).cache(), I.tokens(docs).cache()
 
 
 @pytest.mark.parametrize(
     "query",
-    ["license", "LICENSE the", "fn", ".0", '"der the MI"', "license | re:/[0-9]+/", "near:license,the,3", "re:/License/", "-license", "license -the", "größe", "zzzz", "ext:rs license", "^2:license | version"],
+    ["license", "LICENSE the", "fn", ".0", '"der the MI"', "license | re:/[0-9]+/", "near:license,the,3", "re:/License/", "-license", "license -the", "größe", "zzzz", "ext:rs license", "^2:license | version",
+     '"the Apache License, Ver"', r"re:/\bMIT\b/", r"re:/\bGNU General\b/", "license -mit", "license -the -(lic | apache)", "(license -mit) | reserved", "the -lic"],
 )
 def test_narrowing_never_changes_results(index, query):
-    docs, grams, frequency = index
+    docs, grams, frequency, tokens = index
     q = parse_query(query)
-    whole = S.match_rows(docs, q)
-    narrowed = S.match_rows(narrow.narrowed(docs, q, grams, frequency, docs.count()), q)
-    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, narrowed.collect()))
+    whole = sorted(map(tuple, S.match_rows(docs, q).collect()))
+    for positions in (None, tokens):
+        narrowed = S.match_rows(narrow.narrowed(docs, q, grams, frequency, docs.count(), tokens=positions), q)
+        assert sorted(map(tuple, narrowed.collect())) == whole
+
+
+def test_tokens_narrow_only_what_is_whole(make_docs):
+    files = [("a", "xlic Apache Licensee"), ("b", "the apacheLicense, Ver"), ("c", "the Apache License, Version"), ("d", "MIT"), ("e", "xMIT MITx"), ("f", "_MIT é"), ("g", "camelMIT here"), ("h", "the conShell"), ("i", "a MIT. b"), ("j", "")]
+    docs = make_docs(files).withColumn("segment_id", F.col("doc_id").cast("int"))
+    grams, tokens = I.grams(docs).cache(), I.tokens(docs).cache()
+    frequency = I.document_frequency(grams)
+    for query in ('"ache Lic"', '"the Apache License, Ver"', '" MIT."', '"MIT"', r"re:/\bMIT\b/", "onsh", "the -MIT", "the -onsh", '"the conS"', "apache -lic", "the -(mit | con)", '"c A"', "MIT | the"):
+        q = parse_query(query)
+        whole = sorted(r["path"] for r in S.match_rows(docs, q).collect())
+        assert sorted(r["path"] for r in S.match_rows(narrow.narrowed(docs, q, grams, frequency, 10, tokens=tokens), q).collect()) == whole, query
+    left = lambda q: sorted(r["doc_id"] for r in narrow.candidates(parse_query(q), grams, frequency, 10, tokens=tokens).collect())
+    assert left(r"re:/\bMIT\b/") == [4, 5, 6, 7, 9] and left("the -mit -con") == [2, 3] and left('"the Apache License, Ver"') == [3]
 
 
 def test_what_narrows(index):
-    docs, grams, frequency = index
+    docs, grams, frequency, _ = index
     n = docs.count()
     size = lambda q: (lambda c: None if c is None else c.count())(narrow.candidates(parse_query(q), grams, frequency, n))
     assert size("zzzz") == 0 and size("fn") is None and size("license | x") is None and size("-license") is None

@@ -45,6 +45,31 @@ def test_windows(spark):
     assert sorted((r["n_events"], r["n_paths"]) for r in flush_windows(df).collect()) == [(1, 1), (4, 3)]
 
 
+def test_folds_equal_those_of_one_path_at_a_time(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.5 else f"p{rng.randrange(30)}", rng.choice([C, M, D, R]), rng.randrange(5000)) for _ in range(600)]
+    df = events(spark, rows).repartition(4)
+    order = sorted((r["path"], r["ts"], r["seq"], r["kind"]) for r in df.collect())
+    pending, lists = {}, {}
+    for path, _, _, kind in order:
+        pending[path] = coalesce_pair(pending.get(path), kind)
+        c, m, d = lists.get(path, (False, False, False))
+        lists[path] = (True if kind == C else False if kind == D else c, True if kind == M and not c else False if kind == D else m, d or kind in (D, R))
+    assert {r["path"]: r["kind"] for r in coalesced(df).collect()} == {p: k for p, k in pending.items() if k}
+    assert {r["path"]: tuple(r)[1:] for r in batched(df).collect()} == {p: x for p, x in lists.items() if any(x)}
+    spans, last = [], None
+    times = sorted(r["ts"] for r in df.collect())
+    for t in times:
+        if last is None or t - last >= datetime.timedelta(milliseconds=20):
+            spans.append(0)
+        spans[-1] += 1
+        last = t
+    got = sorted((r["start"], r["n_events"]) for r in debounced(df, 20).collect())
+    assert [n for _, n in got] == spans and len(spans) > 20 and debounced(df.limit(0)).count() == 0
+
+
 def test_ignored_paths(spark):
     df = events(spark, [("src/a", C, 0), (".git/x", C, 0), ("a.log", C, 0)])
     assert [r["path"] for r in ignore_filter(df, ["*.log"]).collect()] == ["src/a"]
