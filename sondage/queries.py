@@ -269,17 +269,17 @@ def stop_grams(spark, d):
 
 @register("tokens_containing", _sql(_WORDS, select="SELECT DISTINCT doc_id FROM tok WHERE contains(token, 'icen')"))
 def tokens_containing(spark, d):
-    return I.containing(I.token_documents(docs_of(spark, d)), "icen")
+    return I.containing(I.token_documents(docs_of(spark, d)), "icen").select("doc_id")
 
 
 @register("token_lookup", _sql(_WORDS, select="SELECT DISTINCT doc_id FROM tok WHERE token = 'apache'"))
 def token_lookup(spark, d):
-    return I.holding_all(I.token_documents(docs_of(spark, d)), ["apache"], "token")
+    return I.holding_all(I.token_documents(docs_of(spark, d)), ["apache"], "token").select("doc_id")
 
 
 @register("narrow_and", _sql(select="SELECT doc_id FROM docs WHERE contains(lower(text), 'lic') AND contains(lower(text), 'ice') AND contains(lower(text), 'ens')"))
 def narrow_and(spark, d):
-    return I.holding_all(I.grams(docs_of(spark, d)), [g for w in ("lic", "ice", "ens") for g in query_trigrams(w)])
+    return I.holding_all(I.grams(docs_of(spark, d)), [g for w in ("lic", "ice", "ens") for g in query_trigrams(w)]).select("doc_id")
 
 
 @register("narrowed_search", _sql(_hits("a", "license"), _hits("b", "version"), select=_BOTH))
@@ -291,12 +291,12 @@ def narrowed_search(spark, d):
 
 @register("phrase_positional", _sql(_WORDS, select="SELECT DISTINCT a.doc_id FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN tok c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 WHERE a.token = 'the' AND b.token = 'apache' AND c.token = 'license'"))
 def phrase_positional(spark, d):
-    return I.adjacent(I.tokens(docs_of(spark, d)), query_tokens("the Apache license"))
+    return I.adjacent(I.tokens(docs_of(spark, d)), query_tokens("the Apache license")).select("doc_id")
 
 
 @register("phrase_positional_gap", _sql(_WORDS, select="SELECT DISTINCT a.doc_id FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.pos = a.pos + 2 WHERE a.token = 'with' AND b.token = 'the'"))
 def phrase_positional_gap(spark, d):
-    return I.adjacent(I.tokens(docs_of(spark, d)), query_tokens("with a the"))
+    return I.adjacent(I.tokens(docs_of(spark, d)), query_tokens("with a the")).select("doc_id")
 
 
 @register("identifiers", _sql(select="SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]+'))) AS identifier FROM docs"))
