@@ -111,6 +111,31 @@ def test_segments(make_docs):
     assert I.assign_segments(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("order", ["path", "key"])
+def test_numbering_does_not_depend_on_partitions(spark, order):
+    # Adaptive execution puts together other partitions where the texts are read than where rows are counted.
+    n = 20_000
+    files = spark.range(n).select(F.concat(F.lit("src/"), F.xxhash64("id").cast("string")).alias("path"), (F.xxhash64("id") % 1_000_000_007 * 64 + F.col("id") % 64).alias("key"), F.concat(*(F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(k))), 512) for k in range(4))).alias("text"))
+    files = files.dropDuplicates([order])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = I.assign_segments(files, 300, 7, order).select(order, "doc_id", "segment_id", F.length("text")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = sorted(r[0] for r in files.select(order).collect())
+    assert sorted((r[1], r[0], r[2]) for r in got) == [(k + 7, v, k // 300 + 1) for k, v in enumerate(want)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 8, 9, 10, 50, 511])
+def test_ranges(spark, n):
+    cuts = list(range(0, 3 * n, 3))
+    values = spark.range(-2, 3 * n + 2).select("id", I._range_of(F.col("id"), cuts).alias("range")).collect()
+    assert all(r["range"] == sum(c <= r["id"] for c in cuts) for r in values)
+
+
 def test_difference(spark, make_docs):
     docs = make_docs([("same", "x"), ("older", "x"), ("gone", "x")], mtime=100)
     scan = spark.createDataFrame([("same", 100), ("older", 50), ("new", 1), ("bad", 7), ("bad2", 8)], "path string, mtime bigint")
