@@ -61,6 +61,9 @@ def glob_to_regex(glob: str) -> str | None:
 
 
 _LOOK = re.compile(r"\(\?(?:[=!>]|<[=!])")
+#: What the dialect's ``(?-u:\b)`` says: a border of a run of ASCII letters, digits and underscores.
+_ASCII_BORDER = r"(?-u:\b)"
+_JAVA_BORDER = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 _POSIX = {"alpha": r"\p{Alpha}", "digit": r"\p{Digit}", "alnum": r"\p{Alnum}", "upper": r"\p{Upper}", "lower": r"\p{Lower}", "space": r"\s", "punct": r"\p{Punct}", "word": r"\w", "xdigit": r"\p{XDigit}", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "print": r"\p{Print}", "graph": r"\p{Graph}"}
 
 
@@ -107,6 +110,10 @@ def java_regex(pattern: str, whole_text: bool = False) -> str | None:
                 out.append("\\]")
                 i += 1
             continue
+        if pattern.startswith(_ASCII_BORDER, i):
+            out.append(_JAVA_BORDER)
+            i += len(_ASCII_BORDER)
+            continue
         if c == "(" and _LOOK.match(pattern, i):
             return None
         if pattern.startswith("(?P<", i):

@@ -182,7 +182,9 @@ def maybe(text: Column, node: Node, ignore_case: bool) -> Column:
         case Regex(pattern):
             if _java(pattern, ignore_case) is None:
                 return F.lit(False)
-            prefix = None if ignore_case or pattern.startswith("(?") else regex_prefix(pattern)
+            # A border of a word takes no room.
+            rest = pattern.removeprefix(r"(?-u:\b)").removeprefix(r"\b")
+            prefix = None if ignore_case or rest.startswith("(?") else regex_prefix(rest)
             return F.lit(True) if prefix is None else F.contains(text, F.lit(prefix))
         case Near(terms, _):
             return reduce(and_, (F.contains(F.lower(text), F.lit(t.lower())) for t in terms))
