@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,43 +129,104 @@ def format_timestamp(seconds: Column) -> Column:
     return F.concat_ws(" ", days.cast("string"), clock, F.lit("UTC"))
 
 
-def _byte_slices(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _byte_slices(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     size = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     cuts = np.flatnonzero(np.diff(np.r_[-1, (np.cumsum(size) - size) // limit]))
     for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
         yield batch.slice(int(a), int(b - a))
 
 
-def trigrams(docs: DataFrame, lower: bool = True, keys: tuple[str, ...] = ("doc_id",), positions: bool = False) -> DataFrame:
-    """Columns ``*keys, gram``: the distinct byte trigrams of each text, lower-cased unless ``lower`` is off.
+def _text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a large string array without nulls, and where each text begins and ends in them."""
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = (np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8))[ends[0] : ends[-1]]
+    return data, ends - ends[0]
+
+
+def _keyed(docs: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """``docs`` with ``keys`` and ``text`` alone, and the keys' types."""
+    chosen = docs.select(*(F.col(k).cast("bigint").alias(k) if k == "doc_id" else F.col(k) for k in keys), "text")
+    return chosen, ", ".join(f"`{k}` {chosen.schema[k].dataType.simpleString()}" for k in keys)
+
+
+_HUMP = re.compile("([a-z])([A-Z])")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_LOWER, _IS_UPPER = (np.isin(np.arange(256), np.arange(a, a + 26)) for a in (97, 65))
+_IS_WORD = _IS_LOWER | _IS_UPPER | np.isin(np.arange(256), np.arange(48, 58))
+
+
+def token_lists(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``token, *keys, positions``: the distinct tokens of each row's text with their ascending ordinals, as :func:`token_positions` has them."""
+    chosen, kinds = _keyed(docs, keys)
+
+    def emit(batches):
+        for batch in batches:
+            for part in _byte_slices(batch) if batch.num_rows else ():
+                texts = pc.fill_null(part.column(len(keys)).cast(pa.large_string()), "")
+                # The two capitals beyond ASCII whose small letters have ASCII in them.
+                if pc.any(pc.match_substring_regex(texts, "[\u0130\u212a]")).as_py():
+                    texts = pa.array([_HUMP.sub(r"\1 \2", t).lower() for t in texts.to_pylist()], pa.large_string())
+                data, ends = _text_bytes(texts)
+                inside = _IS_WORD[data]
+                begins = inside.copy()
+                begins[1:] &= ~inside[:-1] | (_IS_LOWER[data[:-1]] & _IS_UPPER[data[1:]])
+                edge = ends[ends < len(data)]
+                begins[edge] = inside[edge]
+                start = np.flatnonzero(begins)
+                if not len(start):
+                    continue
+                offsets = np.r_[np.cumsum(inside, dtype=np.int64)[start] - 1, np.count_nonzero(inside)]
+                doc = np.searchsorted(ends, start, side="right") - 1
+                place = np.arange(len(start)) - np.searchsorted(start, ends[doc])
+                size = np.diff(offsets)
+                kept = np.flatnonzero((size >= 2) & (size <= 128))
+                if not len(kept):
+                    continue
+                words = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(_LOWER[data[inside]]))
+                coded = words.take(pa.array(kept)).dictionary_encode()
+                pair = doc[kept] * len(coded.dictionary) + coded.indices.to_numpy()
+                order = np.argsort(pair, kind="stable")
+                first = np.flatnonzero(np.diff(pair[order], prepend=-1))
+                positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(order)].astype(np.int32)), pa.array(place[kept][order].astype(np.int32)))
+                lead = order[first]
+                columns = [coded.dictionary.take(coded.indices.take(pa.array(lead))), *(part.column(k).take(pa.array(doc[kept][lead])) for k in range(len(keys))), positions]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", *keys, "positions"])
+
+    return chosen.mapInArrow(emit, f"token string, {kinds}, positions array<int>")
+
+
+def trigrams(docs: DataFrame, lower: bool = True, keys: tuple[str, ...] = ("doc_id",), positions: bool = False, only: list[int] | None = None) -> DataFrame:
+    """Columns ``*keys, gram``: the distinct byte trigrams of each text, lower-cased unless ``lower`` is off; of those in ``only`` if given.
 
     With ``positions`` every occurrence has a row, with its byte offset in ``pos``.
     """
-    fields = [docs.select(F.col(k).cast("bigint") if k == "doc_id" else k).schema[0] for k in keys]
+    chosen, kinds = _keyed(docs, keys)
     names = [*keys, "gram", *["pos"] * positions]
 
     def emit(batches):
         for batch in batches:
             for part in _byte_slices(batch) if batch.num_rows else ():
                 texts = pc.fill_null(part.column(len(keys)).cast(pa.large_string()), "")
-                texts = pc.utf8_lower(texts) if lower else texts
-                ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-                raw = texts.buffers()[2]
-                data = (np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8))[ends[0] : ends[-1]].astype(np.int64)
-                ends = ends - ends[0]
+                data, ends = _text_bytes(pc.utf8_lower(texts) if lower else texts)
                 if len(data) < 3:
                     continue
+                data = data.astype(np.int32)
                 code = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
-                doc = np.searchsorted(ends, np.arange(len(code)), side="right") - 1
-                inside = np.arange(len(code)) + 3 <= ends[doc + 1]
-                at = np.flatnonzero(inside)
-                doc, code = doc[at], code[at]
+                if only is not None:
+                    at = np.flatnonzero(np.isin(code, np.array(only, np.int32)))
+                    doc, code = np.searchsorted(ends, at, side="right") - 1, code[at]
+                else:
+                    at = np.arange(len(code))
+                    doc = np.repeat(np.arange(len(texts)), np.diff(ends))[:-2]
+                inside = at + 3 <= ends[doc + 1]
+                at, doc, code = at[inside], doc[inside], code[inside]
                 if not positions:
-                    pairs = np.unique(doc << 24 | code)
+                    pairs = np.sort(doc << 24 | code)
+                    pairs = pairs[np.diff(pairs, prepend=-1) > 0]
                     doc, code = pairs >> 24, pairs & 0xFFFFFF
                 columns = [part.column(k).take(pa.array(doc)) for k in range(len(keys))] + [pa.array(code.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array((at - ends[doc]).astype(np.int32))] if positions else []), names=names)
 
-    chosen = [F.col(k).cast("bigint").alias(k) if k == "doc_id" else F.col(k) for k in keys]
-    schema = ", ".join([*(f"`{k}` {f.dataType.simpleString()}" for k, f in zip(keys, fields, strict=True)), "gram int", *["pos int"] * positions])
-    return docs.select(*chosen, "text").mapInArrow(emit, schema)
+    return chosen.mapInArrow(emit, ", ".join([kinds, "gram int", *["pos int"] * positions]))

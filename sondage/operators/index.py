@@ -21,18 +21,24 @@ def _keys(docs: DataFrame) -> tuple[str, ...]:
     return ("doc_id", "segment_id") if "segment_id" in docs.columns else ("doc_id",)
 
 
-def grams(docs: DataFrame, lower: bool = True) -> DataFrame:
-    """Postings ``gram, doc_id`` and, if ``docs`` have it, ``segment_id``: every distinct byte trigram of each text.
+def grams(docs: DataFrame, lower: bool = True, only: list[int] | None = None) -> DataFrame:
+    """Postings ``gram, doc_id`` and, if ``docs`` have it, ``segment_id``: every distinct byte trigram of each text, or those of ``only``.
 
     Of lower-cased text by default, which serves exact and case-blind queries alike.
     """
-    return T.trigrams(docs, lower, _keys(docs)).select("gram", *_keys(docs))
+    return T.trigrams(docs, lower, _keys(docs), only=only).select("gram", *_keys(docs))
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """Postings ``token, doc_id`` (and ``segment_id``, if ``docs`` have it) with ascending ordinals in ``positions``."""
-    each = docs.select(*_keys(docs), F.explode(T.token_positions(F.col("text"))).alias("t"))
-    return each.groupBy(F.col("t.token").alias("token"), *_keys(docs)).agg(F.sort_array(F.collect_list("t.pos")).alias("positions"))
+    """Postings ``token, doc_id`` (and ``segment_id``, if ``docs`` have it) with ascending ordinals in ``positions``.
+
+    Each text gives its own; they are shuffled only if an id comes twice, which a look at the ids alone tells.
+    """
+    keys = _keys(docs)
+    each = T.token_lists(docs, keys)
+    if docs.groupBy(*keys).count().where("count > 1").isEmpty():
+        return each
+    return each.groupBy("token", *keys).agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 def token_documents(docs: DataFrame) -> DataFrame:

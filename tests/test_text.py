@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from sondage import model
 from sondage.functions import text as T
+from sondage.operators import index as I
 from sondage.sources import corpus
 
 
@@ -50,6 +51,31 @@ def test_formats(spark):
     assert column(spark, [0, 1709210096], T.format_timestamp, "bigint") == ["1970-01-01 00:00:00 UTC", "2024-02-29 12:34:56 UTC"]
 
 
+def test_token_lists_are_the_token_positions_of_each_row(spark):
+    texts = ["to a bigHouse to", "aK KA aB Ka bKb iİzZ İA", "", None, "x", "É9 éa_Bc ÖAb", "a" * 129 + " " + "b" * 128, "endA", "Begin", "..", "aBcD"] * 3 + ["word tail " * 200_000, "aK"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {(r["doc_id"], r["token"], tuple(r["positions"])) for r in T.token_lists(docs).collect()}
+    want = {}
+    for r in docs.select("doc_id", F.explode(T.token_positions(F.col("text"))).alias("t")).collect():
+        want.setdefault((r["doc_id"], r["t"]["token"]), []).append(r["t"]["pos"])
+    assert got == {(*k, tuple(v)) for k, v in want.items()}
+    twice = docs.where("doc_id < 2").withColumn("doc_id", F.lit(1).cast("bigint"))
+    assert {r["token"]: r["positions"] for r in I.tokens(twice).collect()}["to"] == [0, 4]
+
+
+def test_tokens_need_no_shuffle(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    assert "Exchange" not in I.tokens(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chosen_trigrams(spark):
+    docs = spark.createDataFrame([(1, "abcabc abd"), (2, "ab"), (3, "cabc"), (4, None)], "doc_id bigint, text string").coalesce(1)
+    for positions in (False, True):
+        every = T.trigrams(docs, positions=positions)
+        wanted = [0x616263, 0x616264]
+        assert sorted(T.trigrams(docs, positions=positions, only=wanted).collect()) == sorted(every.where(F.col("gram").isin(wanted)).collect())
+
+
 def test_line_starts(spark):
     texts = ["ab\né\nx", "a\n", "", None, "\n\n", "x\r\ny\n", "é"]
     assert column(spark, texts, T.line_starts) == [[0, 3, 6], [0], [], None, [0, 1], [0, 3], [0]]
