@@ -84,6 +84,12 @@ def _terms(plan) -> set[int]:
     return set(parts) if kind == "grams" else set() if kind == "tokens" else set().union(*map(_terms, parts))
 
 
+def trigrams(query: Query) -> list[int]:
+    """All trigrams that narrowing by an index without tokens looks up."""
+    plan = Narrowing(query.ignore_case, tokens=False).of(query.root)
+    return sorted(_terms(plan)) if plan else []
+
+
 def _documents(plan, postings: DataFrame, tokens: DataFrame | None, frequency: dict[int, int], stops: set[int], exact: bool = False) -> DataFrame | None:
     from ..operators import index as I
 
